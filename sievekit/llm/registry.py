@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, rules
+from . import bpe, licenses, neardup, rules
 
-MODULES = (bpe, licenses, rules)
+MODULES = (bpe, licenses, neardup, rules)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
