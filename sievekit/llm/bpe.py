@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, read
+from .common import in_task, map_batches, read, to_tasks
 
 #: The pre-tokenizing pattern of byte-level vocabularies: contractions, letters, digits, other signs, white space.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -55,7 +55,10 @@ class Vocabulary:
         self.ids = {raw(token): i for token, i in model["vocab"].items()}
         self.bytes_of = {i: token for token, i in self.ids.items()}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.ranks = {(raw(a), raw(b)): rank for rank, (a, b) in enumerate(pairs)}
+        # Two parts that make up a token are always the two that its merge names: up to
+        # that merge, its bytes have gone through the same merges as the token alone.
+        # So the rank of a pair is that of its bytes.
+        self.ranks = {raw(a) + raw(b): rank for rank, (a, b) in enumerate(pairs)}
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of |= {i: t.encode() for t, i in self.added.items()}
 
@@ -70,20 +73,16 @@ class Vocabulary:
             return [whole]
         if len(word) > LONG_WORD:
             return self._encode_long(word)
-        ranks = self.ranks
-        bounds = list(range(len(word) + 1))
-        rank = [ranks.get((word[i : i + 1], word[i + 1 : i + 2]), NO_RANK) for i in range(len(word) - 1)]
-        while rank:
-            low = min(rank)
-            if low == NO_RANK:
-                break
+        rank_of, size = self.ranks.get, len(word)
+        bounds = list(range(size + 1))
+        rank = [rank_of(word[i : i + 2], NO_RANK) for i in range(size - 1)]
+        while rank and (low := min(rank)) != NO_RANK:
             i = rank.index(low)  # the leftmost of equal ranks
             del bounds[i + 1], rank[i]
-            part = word[bounds[i] : bounds[i + 1]]
             if i < len(rank):
-                rank[i] = ranks.get((part, word[bounds[i + 1] : bounds[i + 2]]), NO_RANK)
+                rank[i] = rank_of(word[bounds[i] : bounds[i + 2]], NO_RANK)
             if i:
-                rank[i - 1] = ranks.get((word[bounds[i - 1] : bounds[i]], part), NO_RANK)
+                rank[i - 1] = rank_of(word[bounds[i - 1] : bounds[i + 1]], NO_RANK)
         return [self.ids[word[a:b]] for a, b in zip(bounds, bounds[1:])]
 
     def _encode_long(self, word: bytes) -> list[int]:
@@ -93,7 +92,7 @@ class Vocabulary:
         heap = []
 
         def offer(at: int) -> None:
-            if (mid := ends[at]) < size and (rank := ranks.get((word[at:mid], word[mid : ends[mid]]))) is not None:
+            if (mid := ends[at]) < size and (rank := ranks.get(word[at : ends[mid]])) is not None:
                 heapq.heappush(heap, (rank, at, mid, ends[mid]))
 
         for at in range(size):
@@ -155,11 +154,11 @@ class Encoder:
 
 def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", into: str = "ids") -> DataFrame:
     """Adds the ids of each text as an array. The vocabulary goes to the executors as one broadcast variable, bounded by its file."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(vocabulary_path))
+    vocabulary = to_tasks(docs.sparkSession, Vocabulary.load(vocabulary_path))
     rest = [c for c in docs.columns if c != into]
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        encoder = Encoder(vocabulary.value)
+        encoder = Encoder(in_task(vocabulary))
         for b in batches:
             yield {c: b[c] for c in rest} | {into: [encoder.encode(t) for t in b[text].to_pylist()]}
 
@@ -169,11 +168,11 @@ def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", into: str
 
 def decode(rows: DataFrame, vocabulary_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """Adds the text that each array of ids stands for; null ids decode to the empty text."""
-    vocabulary = rows.sparkSession.sparkContext.broadcast(Vocabulary.load(vocabulary_path))
+    vocabulary = to_tasks(rows.sparkSession, Vocabulary.load(vocabulary_path))
     rest = [c for c in rows.columns if c != into]
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        known = vocabulary.value
+        known = in_task(vocabulary)
         for b in batches:
             yield {c: b[c] for c in rest} | {into: [known.decode(x or []) for x in b[ids].to_pylist()]}
 
@@ -183,12 +182,12 @@ def decode(rows: DataFrame, vocabulary_path: str, ids: str = "ids", into: str =
 
 def digests(docs: DataFrame, vocabulary_path: str, text: str = "text") -> DataFrame:
     """Encodes and decodes each text in one pass over the rows and replaces the text by counts and digests of both results."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(vocabulary_path))
+    vocabulary = to_tasks(docs.sparkSession, Vocabulary.load(vocabulary_path))
     made = ("n_tokens", "ids_sha256", "decoded_sha256", "n_bytes")
     rest = [c for c in docs.columns if c not in (*made, text)]
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        known = vocabulary.value
+        known = in_task(vocabulary)
         encoder, written = Encoder(known), [str(i) for i in range(1 + max(known.bytes_of))]
         for b in batches:
             n, ids_hash, text_hash, size = [], [], [], []

@@ -9,10 +9,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+import sievekit
+
+# Functions go to the executors by value, so that these don't need the package on their path.
+cloudpickle.register_pickle_by_value(sievekit)
+
 #: Rows of a batch that goes to Python: whole documents, so fewer than Spark's default.
 BATCH_ROWS = 500
 
@@ -55,6 +61,15 @@ def forget(*tables: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def to_tasks(spark: SparkSession, value):
+    """A broadcast of a value of bounded size, by value as well; in_task() opens it."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def in_task(held):
+    return cloudpickle.loads(held.value)
+
+
 def map_batches(df: DataFrame, function: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
     """Runs function over batches as {column: list or array} in each task; it yields dicts that hold the schema's columns."""
     spark = df.sparkSession
