@@ -17,8 +17,12 @@ each member is compared with its bucket's pivot, drawn by hash, and only its
 most similar pivots go on to the full sets. Confirmed links join classes into
 provisional components. In the second round, each bucket that still holds
 several components yields the pairs between them, and only those: pairs inside
-one component can't change the result. So every candidate pair is either
-examined or already known to be connected.
+one component can't change the result. Buckets of more than LARGE members don't
+yield rows for pairs: blocks of members and of those outside the bucket's main
+component meet in units of bounded size, where the same comparison runs on
+arrays, pairs that meet in an earlier bucket are left to it, and one link to each
+component comes out. So every candidate pair is either examined or already known
+to be connected.
 
 Edge cases: a text without words (or null) has no set, n_shingles 0, and is
 its own component; a text of fewer than five words has its whole sequence as
@@ -33,6 +37,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -51,6 +56,8 @@ BATCH = 24
 MISS = 1e-6
 #: Pivots of a class that the first round confirms on full sets; the second round takes what is left.
 FIRST = 2
+#: Members of a bucket from which it is worked through in units, and members and outsiders of a unit.
+LARGE, UNIT_MEMBERS, UNIT_OUTSIDERS = 64, 1024, 256
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -140,6 +147,85 @@ def full_sets(docs: DataFrame, text: str = "text") -> DataFrame:
     return map_batches(docs.select(text), run, "node bigint, shingles binary")
 
 
+def short_sets(sets: DataFrame) -> DataFrame:
+    """(node, size, short): the upper halves of the hashes, enough to rule out pairs inside a unit."""
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            full = [np.frombuffer(x.as_buffer(), np.uint64) for x in b["shingles"]]
+            yield {"node": b["node"], "size": [len(x) for x in full], "short": [np.sort(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in full]}
+
+    return map_batches(sets.select("node", "shingles"), run, "node bigint, size int, short binary")
+
+
+def _surviving(one: np.ndarray, many: np.ndarray, limits: list[tuple[int, int]]) -> np.ndarray:
+    """Places of the rows of minima in `many` that sequential comparison with `one` doesn't rule out."""
+    alive, matches = np.arange(len(many)), np.zeros(len(many), np.int64)
+    for n, fewest in limits:
+        matches = matches + (many[alive, n - BATCH : n] == one[n - BATCH : n]).sum(axis=1)
+        stays = matches >= fewest
+        alive, matches = alive[stays], matches[stays]
+    return alive
+
+
+def in_units(big: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): for members of large buckets, probable links between components, one for each u and component of v.
+
+    big: key, node, root, main (the bucket's main component), n members and o
+    of them outside main. Counts on 32-bit halves may be a little off through
+    collisions, so pairs two shingles short still come out; confirmed() decides.
+    """
+    every = big.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # at most one a band
+    shorts = short_sets(sets.join(every.select("node"), "node", "left_semi"))
+    rows = big.join(every, "node").join(nodes.select("node", "minima"), "node").join(shorts, "node")
+    blocks, outside = F.ceil(F.col("n") / UNIT_MEMBERS).cast("int"), F.ceil(F.col("o") / UNIT_OUTSIDERS).cast("int")
+    own = lambda of: F.pmod(F.xxhash64("node"), of).cast("int")
+    every_of = lambda of: F.explode(F.sequence(F.lit(0), of - 1))
+    members = rows.withColumn("i", own(blocks)).withColumn("j", every_of(outside)).withColumn("outer", F.lit(False))
+    outsiders = rows.where("root <> main").withColumn("j", own(outside)).withColumn("i", every_of(blocks)).withColumn("outer", F.lit(True))
+    columns = ["key", "i", "j", "outer", "node", "root", "main", "keys", "minima", "size", "short"]
+    limits = fewest_matches()
+
+    def unit(rows: pd.DataFrame) -> pd.DataFrame:
+        us, vs = rows[rows["outer"]], rows[~rows["outer"]]
+        found: list[tuple[int, int]] = []
+        if len(us) and len(vs):
+            key = rows["key"].iloc[0]
+            minima = np.frombuffer(b"".join(vs["minima"]), np.uint8).reshape(-1, HASHES)
+            node, root, size = (vs[c].to_numpy() for c in ("node", "root", "size"))
+            free = root == vs["main"].to_numpy()
+            sets = [np.frombuffer(x, np.uint32) for x in vs["short"]]
+            earlier: dict[int, list[int]] = {}
+            for at, keys in enumerate(vs["keys"]):
+                for k in keys[: np.searchsorted(keys, key)]:
+                    earlier.setdefault(int(k), []).append(at)
+            for u in us.itertuples(index=False):
+                open_ = (root != u.root) & (free | (node > u.node))
+                for k in u.keys[: np.searchsorted(u.keys, key)]:
+                    open_[earlier.get(int(k), [])] = False
+                places = np.flatnonzero(open_)
+                places = places[_surviving(np.frombuffer(u.minima, np.uint8), minima[places], limits)]
+                if not len(places):
+                    continue
+                mine = np.frombuffer(u.short, np.uint32)
+                lengths = np.array([len(sets[x]) for x in places])
+                theirs = np.concatenate([sets[x] for x in places])
+                hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+                common = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(lengths)[:-1]])) + 2
+                good = OF * common >= SIMILAR * (u.size + size[places] - common)
+                order = np.argsort(-common[good] / (u.size + size[places][good]), kind="stable")
+                best = places[good][order]
+                _, firsts = np.unique(root[best], return_index=True)
+                found += [(u.node, node[x]) for x in best[firsts]]
+                # a pair that only seemed to reach the threshold must not hide another one
+                close = good & (OF * (common - 2) < SIMILAR * (u.size + size[places] - common + 2))
+                found += [(u.node, node[x]) for x in places[close]]
+        return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
+
+    both = members.select(*columns).union(outsiders.select(*columns))
+    return both.groupBy("key", "i", "j").applyInPandas(unit, "u bigint, v bigint").distinct()
+
+
 def likely(pairs: DataFrame, minima: DataFrame) -> DataFrame:
     """(u, v, near): the pairs that sequential comparison doesn't rule out, with their estimated similarity."""
     both = pairs.join(minima.select(F.col("node").alias("u"), F.col("minima").alias("mu")), "u").join(
@@ -212,13 +298,17 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     pivots = roots.select(F.col("node").alias("pivot"), F.col("root").alias("main"))
     label = members.join(roots, "node", "left").join(pivots, "pivot", "left")
     label = label.select("key", "node", F.coalesce("root", "node").alias("root"), F.coalesce("main", "pivot").alias("main"))
-    several = label.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    mixed = stored(label.join(several, "key"), "mixed")
-    outside = mixed.where("root <> main").select("key", F.col("node").alias("u"), F.col("root").alias("ru"))
-    inside = mixed.select("key", F.col("node").alias("v"), F.col("root").alias("rv"), "main")
+    several = label.groupBy("key").agg(
+        F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n"), F.sum((F.col("root") != F.col("main")).cast("int")).alias("o")
+    )
+    mixed = stored(label.join(several.where("a <> b").drop("a", "b"), "key"), "mixed")
+    small = mixed.where(F.col("n") <= LARGE)
+    outside = small.where("root <> main").select("key", F.col("node").alias("u"), F.col("root").alias("ru"))
+    inside = small.select("key", F.col("node").alias("v"), F.col("root").alias("rv"), "main")
     across = outside.join(inside, "key").where("ru <> rv and (rv = main or u < v)")
     rest = across.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    links = confirmed(likely(rest, nodes).select("u", "v"), sets)
+    probable = likely(rest, nodes).select("u", "v").union(in_units(mixed.where(F.col("n") > LARGE), nodes, sets))
+    links = confirmed(probable, sets)
 
     # the stars of the first round and the links of the second
     joined = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, neardup, rules, toxicity
+from . import bpe, licenses, neardup, quality, rules, toxicity
 
-MODULES = (bpe, licenses, neardup, rules, toxicity)
+MODULES = (bpe, licenses, neardup, quality, rules, toxicity)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -75,3 +75,13 @@ def test_fewest_matches_keep_pairs_at_the_threshold():
     limits = neardup.fewest_matches()
     assert [n for n, _ in limits] == list(range(neardup.BATCH, neardup.HASHES + 1, neardup.BATCH))
     assert all(k < 0.75 * n for n, k in limits) and limits[-1][1] > 0.5 * limits[-1][0]
+
+
+def test_units_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LARGE", 1)
+    monkeypatch.setattr(neardup, "UNIT_MEMBERS", 4)
+    monkeypatch.setattr(neardup, "UNIT_OUTSIDERS", 2)
+    monkeypatch.setattr(neardup, "FIRST", 1)
+    rows = variants()
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute(rows)
