@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -86,23 +85,87 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[dict]], Iterator[dic
     return df.mapInArrow(run, kind)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered for up to `most` words."""
-
-    def __init__(self, most: int = 300_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-def ascii_words(text: str | None) -> list[bytes]:
-    """Lower-cases A-Z and splits at space and 0x09-0x0D only, which is what bytes.lower() and bytes.split() do."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+#: Byte tables for hashed_words(): what isn't part of a word becomes a space, A-Z become a-z.
+_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+SPACED = bytes(0x20 if 0x09 <= b <= 0x0D else b for b in _LOWER)
+ALNUM = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in _LOWER)
+
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 2**64)
+#: Bytes of text that are hashed at a time, if no single text is longer.
+_CHUNK = 4 << 20
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n - 1), modulo 2**64."""
+    held = _powers.get(base)
+    if held is None or len(held) < n:
+        held = np.full(max(n, 1 << 16), base, np.uint64)
+        held[0] = 1
+        held = np.multiply.accumulate(held)
+        if n <= _CHUNK:
+            _powers[base] = held
+    return held[:n]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(_BASE)
+    return h ^ (h >> np.uint64(29))
+
+
+def hashed_words(texts: pa.Array, table: bytes, stem: int = 0) -> tuple[np.ndarray, ...]:
+    """(hashes, ends): 64-bit hashes of all words of the texts, and where each text's words end; null texts have none.
+
+    A word's hash is a polynomial over its bytes, taken for all words at once as
+    a difference of running sums. With stem, the third array hashes the first
+    `stem` characters of each word in another way.
+    """
+    texts = texts.fill_null("")
+    wide = pa.types.is_large_string(texts.type)
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    parts, at = [], 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + _CHUNK, side="right")) - 1)
+        chunk = bytes(data[bounds[at] : bounds[to]]).translate(table) if bounds[to] > bounds[at] else b""
+        parts.append(_hashed(chunk, bounds[at : to + 1] - bounds[at], stem))
+        at = to
+    if not parts:
+        return (np.zeros(0, np.uint64), np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * bool(stem))
+    counts = np.concatenate([p[1] for p in parts])
+    stems = [np.concatenate([p[2] for p in parts])] if stem else []
+    return (np.concatenate([p[0] for p in parts]), np.cumsum(counts), *stems)
+
+
+def _hashed(chunk: bytes, bounds: np.ndarray, stem: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(hashes, words of each text, stems) of texts that follow one another."""
+    x = np.frombuffer(chunk, np.uint8)
+    if not len(x):
+        return np.zeros(0, np.uint64), np.zeros(len(bounds) - 1, np.int64), np.zeros(0, np.uint64)
+    inside = x != 0x20
+    edge = np.empty(len(x) + 1, bool)
+    edge[0], edge[1:-1], edge[-1] = True, ~inside[:-1], True
+    edge[bounds] = True  # a text's first byte begins a word, wherever the text before it ends
+    starts = np.flatnonzero(inside & edge[:-1])
+    edge[1:-1] = ~inside[1:]
+    edge[bounds] = True
+    ends = np.flatnonzero(inside & edge[1:]) + 1
+    sums = np.empty(len(x) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum((x + np.uint64(1)) * _power(_BASE, len(x)), out=sums[1:])
+    back = _power(_INVERSE, len(x))[starts]
+    hashes = _mixed((sums[ends] - sums[starts]) * back)
+    counts = np.diff(np.searchsorted(starts, bounds))
+    if not stem:
+        return hashes, counts, None
+    letters = np.flatnonzero((x & 0xC0) != 0x80)
+    after = np.searchsorted(letters, starts) + stem
+    cut = np.where(after < len(letters), letters[np.minimum(after, len(letters) - 1)], len(x))
+    return hashes, counts, _mixed((sums[np.minimum(cut, ends)] - sums[starts]) * back ^ np.uint64(_INVERSE))
+
+
+def word_slices(texts: pa.Array, table: bytes) -> list[np.ndarray]:
+    """The word hashes of each text."""
+    hashes, ends = hashed_words(texts, table)
+    return np.split(hashes, ends[:-1]) if len(ends) else []

@@ -177,7 +177,7 @@ def in_units(big: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """
     every = big.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # at most one a band
     shorts = short_sets(sets.join(every.select("node"), "node", "left_semi"))
-    rows = big.join(every, "node").join(nodes.select("node", "minima"), "node").join(shorts, "node")
+    rows = big.join(every.join(nodes.select("node", "minima"), "node").join(shorts, "node"), "node")  # each node's columns first, once
     blocks, outside = F.ceil(F.col("n") / UNIT_MEMBERS).cast("int"), F.ceil(F.col("o") / UNIT_OUTSIDERS).cast("int")
     own = lambda of: F.pmod(F.xxhash64("node"), of).cast("int")
     every_of = lambda of: F.explode(F.sequence(F.lit(0), of - 1))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, neardup, quality, rules, secrets, toxicity, warc
+from . import bpe, contamination, licenses, neardup, quality, rules, secrets, toxicity, warc
 
-MODULES = (bpe, licenses, neardup, quality, rules, secrets, toxicity, warc)
+MODULES = (bpe, contamination, licenses, neardup, quality, rules, secrets, toxicity, warc)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
