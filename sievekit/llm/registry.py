@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, contamination, licenses, neardup, quality, rules, secrets, toxicity, warc
+import corpus_pipeline
 
-MODULES = (bpe, contamination, licenses, neardup, quality, rules, secrets, toxicity, warc)
+from . import bpe, contamination, licenses, neardup, privacy, quality, rules, secrets, toxicity, warc
+
+MODULES = (bpe, contamination, licenses, neardup, privacy, quality, rules, secrets, toxicity, warc)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
+
+# the pipeline belongs to this subpackage, but stands at the top of the repository
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

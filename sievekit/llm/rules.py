@@ -118,6 +118,18 @@ def judge(rows: DataFrame, policy: str = "v1") -> DataFrame:
     return rows.withColumn("kept", F.col("failed_bits").bitwiseAND(mask(policy)) == 0)
 
 
+def keep(docs: DataFrame, policy: str = "v1", text: str = "text") -> DataFrame:
+    """The documents that a policy keeps, with their own columns only.
+
+    The counts are observed as query metrics. That also keeps the filter above
+    the measurements: below them, it would hold a copy of their expressions for
+    each time that a rule uses them.
+    """
+    judged = judge(ledger(measure(docs.withColumns({f"__c{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)}), text)), policy)
+    judged = judged.observe("quality_rules", F.count(F.lit(1)).alias("n_documents"), F.count_if("kept").alias("n_kept"))
+    return judged.where("kept").select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def ablations(rows: DataFrame, policy: str = "v1") -> DataFrame:
     """For each rule of the policy: documents that fail it, and those that only it rejects.
 
