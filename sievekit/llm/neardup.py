@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ascii_words, map_batches, read, stored
+from .common import SPACED, map_batches, read, stored, word_slices
 from .components import components
 
 SHINGLE = 5
@@ -62,12 +62,11 @@ LARGE, UNIT_MEMBERS, UNIT_OUTSIDERS = 64, 1024, 256
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
-def shingle_set(words: list[bytes], hashes: WordHashes) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of the shingles."""
-    n = len(words)
+def shingle_set(h: np.ndarray) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of the shingles of a text, given the hashes of its words."""
+    n = len(h)
     if not n:
         return np.empty(0, np.uint64)
-    h = hashes.of(words)
     width = min(n, SHINGLE)
     mixed = h[: n - width + 1] * _ODD[0] + np.uint64(width)
     for k in range(1, width):
@@ -115,11 +114,11 @@ def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, node, bands, minima): node is a 64-bit digest of the set, null for an empty one."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        hashes, (a, b) = WordHashes(), minhash_parameters()
+        a, b = minhash_parameters()
         for batch in batches:
             n, node, bands, minima = [], [], [], []
-            for t in batch[text]:
-                s = shingle_set(ascii_words(t.as_py()), hashes)
+            for words in word_slices(batch[text], SPACED):
+                s = shingle_set(words)
                 n.append(len(s))
                 if not len(s):
                     node.append(None), bands.append(None), minima.append(None)
@@ -139,9 +138,8 @@ def full_sets(docs: DataFrame, text: str = "text") -> DataFrame:
     """(node, shingles): the sets, as 64-bit numbers in binary, and their digests."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        hashes = WordHashes()
         for batch in batches:
-            sets = [shingle_set(ascii_words(t.as_py()), hashes).tobytes() for t in batch[text]]
+            sets = [shingle_set(words).tobytes() for words in word_slices(batch[text], SPACED)]
             yield {"node": [_digest(s) for s in sets], "shingles": sets}
 
     return map_batches(docs.select(text), run, "node bigint, shingles binary")
