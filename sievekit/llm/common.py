@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -33,7 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
         folder = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = folder.get() if folder.isDefined() else None
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="sievekit-")
+        own = tempfile.mkdtemp(prefix="sievekit-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = f"file://{own}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
