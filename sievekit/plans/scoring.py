@@ -209,7 +209,7 @@ def method_comparison(spark: SparkSession, d: str) -> DataFrame:
 def report_rollup(spark: SparkSession, d: str) -> DataFrame:
     """One row for each method and metric, ordered inside the metric by value."""
     rows = method_comparison(spark, d).unpivot(["method"], ["accuracy", "balanced_accuracy", "macro_f1"], "metric", "value")
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("value"), "method")))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("value"), "method")).cast("long"))
 
 
 def seed_sweep(spark: SparkSession, d: str) -> DataFrame:

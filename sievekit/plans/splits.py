@@ -53,11 +53,11 @@ def split_multi_seed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sample_hash_cap(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.sample_per_class(table(spark, d, "documents"), "doc_id", "source", 5).select("doc_id", "source", "rank")
+    return splitting.sample_per_class(table(spark, d, "documents"), "doc_id", "source", 5).select("doc_id", "source", F.col("rank").cast("long").alias("rank"))
 
 
 def sample_round_robin(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.sample_round_robin(table(spark, d, "documents"), "doc_id", "source", SOURCES, 20).select("doc_id", "source", "rank")
+    return splitting.sample_round_robin(table(spark, d, "documents"), "doc_id", "source", SOURCES, 20).select("doc_id", "source", F.col("rank").cast("long").alias("rank"))
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
