@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED, map_batches, read, stored, word_slices
+from .common import SPACED, forget, map_batches, read, stored, word_slices
 from .components import components
 
 SHINGLE = 5
@@ -281,6 +281,8 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     sketches = stored(sketch(docs), "sketches")
     classes = sketches.where("node is not null").groupBy("node")
     nodes = stored(classes.agg(F.first("bands").alias("bands"), F.first("minima").alias("minima"), F.min("doc_id").alias("doc_id")), "nodes")
+    rows = stored(sketches.select("doc_id", "n_shingles", "node"), "rows")
+    forget(sketches)
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     # the pivot is drawn by hash, so that a group has other pivots in other bands
     drawn = F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node"))["node"]
@@ -310,9 +312,10 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
     # the stars of the first round and the links of the second
     joined = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links))
+    forget(members, mixed, sets)
     of_node = nodes.select("node", "doc_id").join(joined, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     ids = of_node.join(of_node.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id")
-    rows = sketches.select("doc_id", "n_shingles", "node").join(ids, "node", "left")
+    rows = rows.join(ids, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
