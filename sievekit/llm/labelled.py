@@ -48,5 +48,21 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return w / np.append(scale, 1.0)
 
 
+def rising_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A logistic regression in which no feature speaks against class 1: the most negative is left out until none is."""
+    kept = list(range(x.shape[1]))
+    while kept:
+        w = logistic(x[:, kept], y, weight)
+        worst = int(np.argmin(w[:-1]))
+        if w[worst] >= 0:
+            break
+        del kept[worst]
+    else:
+        w = logistic(x[:, :0], y, weight)
+    out = np.zeros(x.shape[1] + 1)
+    out[kept], out[-1] = w[:-1], w[-1]
+    return out
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
