@@ -22,6 +22,8 @@ cloudpickle.register_pickle_by_value(sievekit)
 
 #: Rows of a batch that goes to Python: whole documents, so fewer than Spark's default.
 BATCH_ROWS = 500
+#: Bytes of such a batch, which bound it where texts are long.
+BATCH_BYTES = "8m"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -77,6 +79,7 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[dict]], Iterator[dic
     """Runs function over batches as {column: list or array} in each task; it yields dicts that hold the schema's columns."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     kind: StructType = _parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
 
