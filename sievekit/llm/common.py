@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -66,6 +67,16 @@ def forget(*tables: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of finished steps now and not at its next turn.
+
+    The cleaner acts on what the driver's garbage collection finds unreachable,
+    which a driver with little to do may put off while the disks fill.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def to_tasks(spark: SparkSession, value):
     """A broadcast of a value of bounded size, by value as well; in_task() opens it."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))

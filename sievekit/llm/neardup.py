@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED, forget, map_batches, read, stored, word_slices
+from .common import SPACED, forget, map_batches, read, release, stored, word_slices
 from .components import components
 
 SHINGLE = 5
@@ -288,7 +288,9 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     drawn = F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node"))["node"]
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), drawn.alias("pivot")).where("n > 1").drop("n")
     members = stored(keyed.join(shared, "key"), "members")
+    release(docs.sparkSession)
     sets = stored(_sets_of(docs, nodes, members.select("node").distinct()), "sets")
+    release(docs.sparkSession)
 
     star = members.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
     nearest = Window.partitionBy("u").orderBy(F.desc("near"), "v")  # at most one row a band
@@ -313,6 +315,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     # the stars of the first round and the links of the second
     joined = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links))
     forget(members, mixed, sets)
+    release(docs.sparkSession)
     of_node = nodes.select("node", "doc_id").join(joined, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     ids = of_node.join(of_node.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id")
     rows = rows.join(ids, "node", "left")

@@ -9,9 +9,9 @@ and a lost executor's task is simply written again. Each archive is one gzip
 stream.
 
 Records are read from whole archives, which the writer keeps to about
-ARCHIVE_BYTES each before compression; a payload is cut out by its Content-Length, so whatever it
-holds can't end a record. Assembly joins the three kinds of record by identifier
-and gives one nested row per capture.
+ARCHIVE_BYTES each before compression; a payload is cut out by its
+Content-Length, so whatever it holds can't end a record. Assembly joins the
+three kinds of record by identifier and gives one nested row per capture.
 
 Edge cases: a null payload counts as empty; equal payloads (empty ones too)
 share one response, that with the largest id; rows that repeat an id are separate
