@@ -56,6 +56,8 @@ BATCH = 24
 MISS = 1e-6
 #: Pivots of a class that the first round confirms on full sets; the second round takes what is left.
 FIRST = 2
+#: Parts in which a component's classes are joined with its smallest id.
+SALTS = 16
 #: Members of a bucket from which it is worked through in units, and members and outsiders of a unit.
 LARGE, UNIT_MEMBERS, UNIT_OUTSIDERS = 64, 1024, 256
 
@@ -316,8 +318,12 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     joined = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links))
     forget(members, mixed, sets)
     release(docs.sparkSession)
-    of_node = nodes.select("node", "doc_id").join(joined, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    ids = of_node.join(of_node.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id")
+    # classes that have links; a component may hold most of them, so they meet its smallest id in SALTS parts
+    roots = joined.select(F.col("root").alias("node")).distinct().withColumn("root", F.col("node"))
+    linked = nodes.select("node", "doc_id").join(joined.union(roots), "node")
+    least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = linked.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))).join(least, ["root", "salt"]).select("node", "component_id")
+    ids = nodes.select("node", "doc_id").join(found, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
     rows = rows.join(ids, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
