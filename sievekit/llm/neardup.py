@@ -323,7 +323,9 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     linked = nodes.select("node", "doc_id").join(joined.union(roots), "node")
     least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     found = linked.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))).join(least, ["root", "salt"]).select("node", "component_id")
+    # a table of its own, so that the last join deals out both sides anew and a class of many copies can be split
     ids = nodes.select("node", "doc_id").join(found, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    ids = stored(ids, "ids")
     rows = rows.join(ids, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
