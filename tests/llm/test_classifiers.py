@@ -103,3 +103,18 @@ def test_discounts_and_temperature():
     logit = draw.normal(0, 2, 4000)
     y = (draw.random(4000) < labelled.sigmoid(logit / 2)).astype(float)
     assert abs(quality.temperature(logit, y, np.ones(4000)) - 2) < 0.3
+
+
+def test_bigrams_seen_once_have_mass(spark):
+    texts = spark.createDataFrame([("one two three two three four", 1), ("five one two", 0)], "text string, y int")
+    bigrams = toxicity.bigram_counts(texts)
+    classes = [toxicity.Counts(bigrams, y) for y in (0, 1)]
+    assert [len(c.n) for c in classes] == [3, 5]
+    models = toxicity.Models(classes, (np.zeros(0, np.uint64), np.zeros(0)), 1.0)
+    start, one, two, three, four = (np.uint64(1), *common.hashed_words(pa.array(["one two three four"]), common.ALNUM)[0])
+    at = lambda h, w: np.searchsorted(models.keys, toxicity.pair_key(np.array([h]), np.array([w])))[0]
+    steps = classes[1].steps
+    assert np.isclose(models.pair_p[1][at(three, four)], (1 - steps[1]) / (2 + toxicity.CONTEXT))
+    assert np.isclose(models.pair_p[1][at(two, three)], (2 - steps[2]) / (2 + toxicity.CONTEXT))
+    back = models.back[1][np.searchsorted(models.words, three)]
+    assert np.isclose(back, (2 * steps[1] + toxicity.CONTEXT) / (2 + toxicity.CONTEXT))
