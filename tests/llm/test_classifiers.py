@@ -105,6 +105,14 @@ def test_discounts_and_temperature():
     assert abs(quality.temperature(logit, y, np.ones(4000)) - 2) < 0.3
 
 
+def test_short_texts_of_toxic_words_alone(spark):
+    rows = corpus()
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(5000, "scumxta vequri scumxmo"), (5001, "vequta debane scumxri"), (5002, "debane lisate mori")], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).where("doc_id >= 5000").collect()}
+    assert got[5000] >= toxicity.THRESHOLD and got[5001] >= toxicity.THRESHOLD > got[5002]
+
+
 def test_bigrams_seen_once_have_mass(spark):
     texts = spark.createDataFrame([("one two three two three four", 1), ("five one two", 0)], "text string, y int")
     bigrams = toxicity.bigram_counts(texts)
