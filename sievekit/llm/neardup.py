@@ -2,7 +2,9 @@
 
 Texts become sets of five-word shingles, held as 64-bit hashes. Texts with
 equal sets form one class; everything after that works on classes, so a group
-of exact copies of any size costs one row.
+of exact copies of any size costs one row. A class is named by half of a 128-bit
+digest of its set; where sets with other digests share that half, the whole
+digest names them.
 
 1. Banded MinHash: two classes are candidates where all ROWS minima of one of
    BANDS bands agree. At similarity 0.75 a pair is missed with probability
@@ -43,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED, forget, map_batches, read, release, stored, word_slices
+from .common import SPACED, dealt_anew, forget, map_batches, placed, read, release, stored, word_slices
 from .components import components
 
 SHINGLE = 5
@@ -77,8 +79,19 @@ def shingle_set(h: np.ndarray) -> np.ndarray:
     return np.unique(mixed * _ODD[4])
 
 
-def _digest(shingles: bytes) -> int | None:
-    return xxhash.xxh64_intdigest(shingles) - 2**63 if shingles else None
+def _digest(shingles: bytes) -> tuple[int | None, int | None]:
+    """Both halves of the digest of a set."""
+    if not shingles:
+        return None, None
+    high, low = divmod(xxhash.xxh3_128_intdigest(shingles), 2**64)
+    return low - 2**63, high - 2**63
+
+
+def apart(rows: DataFrame, clashes: DataFrame) -> DataFrame:
+    """Names sets by their whole digest where the half in `node` is one of clashes, which have been counted to be few."""
+    known = clashes.select(F.col("node").alias("__node"))
+    rows = rows.join(known, F.col("node") == F.col("__node"), "left")
+    return rows.withColumn("node", F.when(F.col("__node").isNull(), F.col("node")).otherwise(F.xxhash64("node", "other"))).drop("__node")
 
 
 def minhash_parameters() -> tuple[np.ndarray, np.ndarray]:
@@ -113,38 +126,39 @@ def fewest_matches() -> list[tuple[int, int]]:
 
 
 def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, node, bands, minima): node is a 64-bit digest of the set, null for an empty one."""
+    """(doc_id, n_shingles, node, other, bands, minima): node and other are the halves of the set's digest, null for an empty one."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         a, b = minhash_parameters()
         for batch in batches:
-            n, node, bands, minima = [], [], [], []
+            n, digests, bands, minima = [], [], [], []
             for words in word_slices(batch[text], SPACED):
                 s = shingle_set(words)
                 n.append(len(s))
+                digests.append(_digest(s.tobytes()))
                 if not len(s):
-                    node.append(None), bands.append(None), minima.append(None)
+                    bands.append(None), minima.append(None)
                     continue
                 low = signature(s, a, b)
-                node.append(_digest(s.tobytes()))
                 parts = low.reshape(BANDS, ROWS)
                 bands.append([xxhash.xxh64_intdigest(p.tobytes(), i) - 2**63 for i, p in enumerate(parts)])
                 minima.append((low & np.uint32(255)).astype(np.uint8).tobytes())
-            yield {"doc_id": batch["doc_id"], "n_shingles": pa.array(n, pa.int64()), "node": node, "bands": bands, "minima": minima}
+            yield {"doc_id": batch["doc_id"], "n_shingles": pa.array(n, pa.int64()), "node": [d[0] for d in digests], "other": [d[1] for d in digests], "bands": bands, "minima": minima}
 
     kind = dict(docs.dtypes)["doc_id"]
-    return map_batches(docs.select("doc_id", text), run, f"doc_id {kind}, n_shingles bigint, node bigint, bands array<bigint>, minima binary")
+    return map_batches(docs.select("doc_id", text), run, f"doc_id {kind}, n_shingles bigint, node bigint, other bigint, bands array<bigint>, minima binary")
 
 
 def full_sets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(node, shingles): the sets, as 64-bit numbers in binary, and their digests."""
+    """(node, other, shingles): the sets, as 64-bit numbers in binary, and the halves of their digests."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
             sets = [shingle_set(words).tobytes() for words in word_slices(batch[text], SPACED)]
-            yield {"node": [_digest(s) for s in sets], "shingles": sets}
+            digests = [_digest(s) for s in sets]
+            yield {"node": [d[0] for d in digests], "other": [d[1] for d in digests], "shingles": sets}
 
-    return map_batches(docs.select(text), run, "node bigint, shingles binary")
+    return map_batches(docs.select(text), run, "node bigint, other bigint, shingles binary")
 
 
 def short_sets(sets: DataFrame) -> DataFrame:
@@ -266,7 +280,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_batches(both.select("u", "v", "su", "sv"), run, "u bigint, v bigint")
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, clashes: DataFrame | None) -> DataFrame:
     """(node, shingles) of the wanted classes, made from one text of each.
 
     Documents are picked by id, and the class of a text is found again from its
@@ -274,24 +288,32 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     ids = nodes.join(wanted, "node").select(F.col("doc_id").alias("id")).distinct()
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi")
-    return full_sets(texts).where("node is not null").dropDuplicates(["node"])
+    sets = full_sets(texts).where("node is not null")
+    return (sets if clashes is None else apart(sets, clashes)).drop("other").dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs."""
+    """(doc_id, n_shingles, component_id, kept) for each row of docs; doc_id may be of any type that can be ordered."""
     docs = docs.select("doc_id", F.col(text).cast("string").alias("text"))
-    sketches = stored(sketch(docs), "sketches")
+    sketched = sketches = stored(sketch(docs), "sketches")
+    halves = sketches.where("node is not null").groupBy("node").agg(F.min("other").alias("a"), F.max("other").alias("b"))
+    clashes = stored(halves.where("a <> b").select("node"), "clashes")
+    if clashes.isEmpty():
+        forget(clashes)
+        clashes = None
+    else:
+        sketches = apart(sketches, clashes)
     classes = sketches.where("node is not null").groupBy("node")
     nodes = stored(classes.agg(F.first("bands").alias("bands"), F.first("minima").alias("minima"), F.min("doc_id").alias("doc_id")), "nodes")
     rows = stored(sketches.select("doc_id", "n_shingles", "node"), "rows")
-    forget(sketches)
+    forget(sketched)
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     # the pivot is drawn by hash, so that a group has other pivots in other bands
     drawn = F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node"))["node"]
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), drawn.alias("pivot")).where("n > 1").drop("n")
-    members = stored(keyed.join(shared, "key"), "members")
+    members = stored(keyed.join(dealt_anew(shared, "key"), "key"), "members")
     release(docs.sparkSession)
-    sets = stored(_sets_of(docs, nodes, members.select("node").distinct()), "sets")
+    sets = stored(_sets_of(docs, nodes, members.select("node").distinct(), clashes), "sets")
     release(docs.sparkSession)
 
     star = members.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
@@ -305,7 +327,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     several = label.groupBy("key").agg(
         F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n"), F.sum((F.col("root") != F.col("main")).cast("int")).alias("o")
     )
-    mixed = stored(label.join(several.where("a <> b").drop("a", "b"), "key"), "mixed")
+    mixed = stored(label.join(dealt_anew(several.where("a <> b").drop("a", "b"), "key"), "key"), "mixed")
     small = mixed.where(F.col("n") <= LARGE)
     outside = small.where("root <> main").select("key", F.col("node").alias("u"), F.col("root").alias("ru"))
     inside = small.select("key", F.col("node").alias("v"), F.col("root").alias("rv"), "main")
@@ -316,7 +338,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
     # the stars of the first round and the links of the second
     joined = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links))
-    forget(members, mixed, sets)
+    forget(members, mixed, sets, roots)
     release(docs.sparkSession)
     # classes that have links; a component may hold most of them, so they meet its smallest id in SALTS parts
     roots = joined.select(F.col("root").alias("node")).distinct().withColumn("root", F.col("node"))
@@ -326,11 +348,26 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     # a table of its own, so that the last join deals out both sides anew and a class of many copies can be split
     ids = nodes.select("node", "doc_id").join(found, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
     ids = stored(ids, "ids")
+    forget(nodes, joined)
     rows = rows.join(ids, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs less those that a near-duplicate group has besides its first one, with the same columns.
+
+    Rows are told apart by their places in the files, never by their ids: the
+    first row of a group is that with the smallest doc_id, a null one counting
+    as the largest, and of several with that id the first by file (hashed) and
+    row. Rows without words are in no group and all stay.
+    """
+    docs = placed(docs, "__place")
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__place")
+    kept = near_duplicates(docs.select(key.alias("doc_id"), F.col(text).alias("text"))).where("kept")
+    return docs.join(kept.select(F.col("doc_id.__place").alias("__place")), "__place", "left_semi").drop("__place").select(*[c for c in docs.columns if c != "__place"])
+
+
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
