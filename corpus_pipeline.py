@@ -1,9 +1,10 @@
 """The training-data pipeline: five stages over `documents`, each one operator of sievekit.llm.
 
 Every stage works on all that the stage before it kept. Stages 1 to 4 return the
-columns of documents; the last one returns what encoding and decoding give. A
-document without an id is treated like any other by the rules, the redaction and
-the encoding; near-duplicate groups keep it only where the whole group has no id.
+columns of documents; the last one returns what encoding and decoding give. All
+of them judge rows, not ids: rows that share an id or have none stay or go by
+their own texts. A near-duplicate group keeps a row without an id only where the
+whole group has no id, and of rows that repeat id and text it keeps one.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievekit.llm import bpe, contamination, neardup, privacy, rules
-from sievekit.llm.common import read, stored
+from sievekit.llm.common import forget, read, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,18 +22,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the smallest id; of rows that repeat an id, one."""
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
-    named = rows.where("doc_id is not null").dropDuplicates(["doc_id"])  # the join has brought rows of one id together
-    return named.unionByName(rows.where("doc_id is null"))
+    """One row of each near-duplicate group: that with the smallest id, a null id counting as the largest."""
+    return neardup.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = contamination.matches(docs, read(spark, sf_dir, "benchmark"))
-    leaks = stored(contamination.leaked(found).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["__leak"]), "left_anti")
+    """Rows that hold no benchmark item."""
+    return contamination.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,5 +59,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
