@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 
@@ -81,3 +82,55 @@ def test_trees_add_named_spans(spark):
 def test_written_addresses():
     text = "write to jo.doe (at) mail (dot) org soon"
     assert [c for c in privacy.candidates(text) if c[1] == 4] == [(9, 4, 35, 0)]
+
+
+#: Written by hand, not by the maker of the training examples: (kind, before, span, behind).
+PERSONAL = [
+    ("name", "seen by ", "Dr. Helen Carter", " on"), ("name", "thanks to ", "Frau Annika Schulz", ","), ("name", "name: ", "Robert Miles Fenton", "."), ("name", "and ", "Mme Claire Dubois", " said"),
+    ("address", "she lives at ", "42 Oak Street", "."), ("address", "address: ", "7 Old Mill Lane", ","), ("address", "wohnt ", "Lindenstraße 14", " seit"), ("address", "domicile ", "12, rue de Rivoli", " la"),
+    ("code", "iban ", "DE89 3704 0044 0532 0130 00", " today"), ("code", "account ", "GB29NWBK60161331926819", "."), ("code", "passport number ", "K1234567", " issued"),
+    ("number", "please call ", "020-555-0134", " soon"), ("number", "mobile: ", "(030) 555 0171", " or"), ("number", "ssn ", "078-05-1120", "."), ("number", "credit card ", "4000 1234 5678 9012", " expires"),
+    ("written_email", "write to ", "anna.lee (at) example (dot) org", " now"), ("written_email", "contact ", "jb at mailhost dot com", "."),
+]
+ORDINARY = [
+    ("a total of ", "12345678", " units"), ("order ", "2021-03-14", " was"), ("part ", "AB1234567", " fits"), ("about ", "500 000 000", " items"), ("version ", "20240131", ","),
+    ("page ", "978-03-161484-10-0", " of"), ("thanks ", "Mr President", " and"), ("look at one dot two", "", " again"), ("model ", "XY123456", " is"), ("Dear ", "Sir Madam", ","),
+]
+
+
+def test_spans_added_to_supplied_documents(spark, tmp_path):
+    """Planted kinds in the documents of sf0.1: precision and recall of the added spans, and base spans as without them."""
+    folder = f"{os.environ.get('TESTDATA', '/root/testdata')}/sf0.1"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").orderBy("doc_id").collect()]
+    draw, planted, made = random.Random(9), {}, []
+    for i, text in rows:
+        words = (text or "").split(" ")
+        if i % 5 == 0 and len(words) > 5:
+            at = draw.randrange(1, len(words))
+            kind, before, span, behind = draw.choice(PERSONAL) if i % 2 else (None, *draw.choice(ORDINARY))
+            start = len(" ".join(words[:at])) + 1 + len(before)
+            words[at:at] = [before + span + behind]
+            planted[i] = f"{kind}:{start}:{start + len(span)}" if kind else ""
+        made.append((i, " ".join(words)))
+    spark.createDataFrame(made, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    texts_of, hits, added, by_kind = dict(made), 0, 0, {}
+    for r in privacy.op6_private_spans(spark, str(tmp_path)).collect():
+        base = brute(texts_of[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        spans = set(filter(None, r.spans.split(",")))
+        assert set(filter(None, base.split(","))) <= spans
+        extra = {s for s in spans if s.split(":")[0] in privacy.EXTRA}
+        wanted = planted.get(r.doc_id)
+        hits, added = hits + (wanted in extra), added + len(extra)
+        if wanted:
+            by_kind.setdefault(wanted.split(":")[0], []).append(wanted in extra)
+    found = {k: np.mean(v) for k, v in by_kind.items()}
+    assert set(found) == set(privacy.EXTRA) and hits / sum(map(len, by_kind.values())) >= 0.9 and min(found.values()) >= 0.7, found
+    assert hits / added >= 0.9, (hits, added)
+
+
+def test_a_fit_exists_at_every_size(spark):
+    docs = spark.createDataFrame([(1, "a few words here"), (2, None), (3, "")], "doc_id long, text string")
+    trees, thresholds = privacy.fit(docs)
+    assert trees is not None and set(thresholds) == {privacy.KINDS.index(k) for k in privacy.EXTRA}
+    assert privacy.fit(docs.where("doc_id > 1")) == (None, {})
