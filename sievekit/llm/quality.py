@@ -1,10 +1,12 @@
 """Quality classifier: random-indexing word vectors, pooled by document, and a two-layer network.
 
-A token is a run of letters, of digits or of other signs. Each of BUCKETS hash
-buckets of tokens has a fixed sparse index vector, and its word vector is the
-sum of the index vectors of the tokens within REACH places of it, over the whole
-corpus. A document is the mean of its tokens' normalised word vectors, with a few
-figures of its form. A network with one hidden layer, fitted in numpy to at most
+A token is a run of letters, of digits or of other signs. Two marks count as
+tokens too: one behind each word in capitals, and one behind each token that
+closes a run of three that the text had before. Each of BUCKETS hash buckets of
+tokens has a fixed sparse index vector, and its word vector is the sum of the
+index vectors of the tokens within REACH places of it, over the whole corpus. A
+document is the mean of its tokens' normalised word vectors and nothing else. A
+network with one hidden layer, fitted in numpy to at most
 about ROWS_A_CLASS labelled rows of each class, gives a logit, and a temperature
 fitted to rows that the network hasn't seen turns it into a probability.
 
@@ -39,30 +41,46 @@ HIDDEN, EPOCHS, RATE = 32, 60, 3e-3
 #: Shares of the sampled rows for stopping the fit and for the temperature.
 STOP_PART, CURVE_PART = 0.15, 0.15
 THRESHOLD = 0.3
-FORM = ("repeated", "capitals", "distinct", "log_size")
+#: The marks' places behind the buckets.
+CAPITALS, AGAIN = BUCKETS, BUCKETS + 1
+ROWS = BUCKETS + 2
 
-_CAPITALS = re.compile(r"[A-Z]+")
 _TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+")
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the non-zero entries of each bucket's index vector."""
+    """Places and signs of the non-zero entries of the index vector of each bucket and mark."""
     draw = np.random.default_rng(7)
-    places = np.argsort(draw.random((BUCKETS, DIMENSIONS)), axis=1)[:, :NONZERO]
-    return places.astype(np.int64), draw.choice([-1.0, 1.0], (BUCKETS, NONZERO))
+    places = np.argsort(draw.random((ROWS, DIMENSIONS)), axis=1)[:, :NONZERO]
+    return places.astype(np.int64), draw.choice([-1.0, 1.0], (ROWS, NONZERO))
 
 
 class Tokens(dict):
-    """Buckets of tokens, remembered for up to `most` of them."""
+    """Buckets of tokens, less BUCKETS for those in capitals, remembered for up to `most` of them."""
 
     most = 300_000
 
     def __missing__(self, token: bytes) -> int:
         if len(self) >= self.most:
             self.clear()
-        value = self[token] = xxhash.xxh64_intdigest(token) % BUCKETS
+        value = self[token] = xxhash.xxh64_intdigest(token) % BUCKETS - BUCKETS * (len(token) > 1 and token.isupper())
         return value
 
+    def of(self, text: str | None) -> np.ndarray:
+        """The rows of a text's tokens and marks in the table of word vectors."""
+        tokens = tokens_of(text)
+        n = len(tokens)
+        out = np.full((n, 3), -1, np.int64)
+        ids = np.fromiter(map(self.__getitem__, tokens), np.int64, n)
+        out[ids < 0, 1] = CAPITALS
+        out[:, 0] = ids % BUCKETS
+        if n > 3:
+            triples = (out[:-2, 0] * BUCKETS + out[1:-1, 0]) * BUCKETS + out[2:, 0]
+            order = np.argsort(triples, kind="stable")
+            out[order[1:][triples[order[1:]] == triples[order[:-1]]] + 2, 2] = AGAIN
+        out = out.ravel()
+        return out[out >= 0]
+
 
 def tokens_of(text: str | None) -> list[bytes]:
     return _TOKEN.findall(text.encode("utf-8", "surrogatepass")) if text else []
@@ -77,28 +95,27 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     def count(batches: Iterator[dict]) -> Iterator[dict]:
         known, (places, signs) = Tokens(), index_vectors()
-        table, held, size = np.zeros(BUCKETS * DIMENSIONS), [], 0
+        table, held, size = np.zeros(ROWS * DIMENSIONS), [], 0
 
         def add() -> None:
             ids = np.concatenate(held)
             for step in range(1, REACH + 1):
                 for word, other in ((ids[step:], ids[:-step]), (ids[:-step], ids[step:])):
                     for k in range(NONZERO):
-                        table[:] += np.bincount(word * DIMENSIONS + places[other, k], signs[other, k], BUCKETS * DIMENSIONS)
+                        table[:] += np.bincount(word * DIMENSIONS + places[other, k], signs[other, k], ROWS * DIMENSIONS)
 
         for b in batches:
             for t in b[text]:
-                tokens = tokens_of(t.as_py())
-                if tokens:
-                    held.append(np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens)))
-                    size += len(tokens)
+                if len(ids := known.of(t.as_py())):
+                    held.append(ids)
+                    size += len(ids)
             if size > 2_000_000:
                 add()
                 held, size = [], 0
         if held:
             add()
         if table.any():
-            parts = table.astype(np.float32).reshape(BLOCKS, -1)
+            parts = np.array_split(table.astype(np.float32), BLOCKS)
             yield {"block": list(range(BLOCKS)), "vectors": [p.tobytes() for p in parts]}
 
     def total(batches: Iterator[dict]) -> Iterator[dict]:
@@ -110,30 +127,25 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
         yield {"block": list(sums), "vectors": [x.astype(np.float32).tobytes() for x in sums.values()]}
 
     parts = map_batches(docs.select(text), count, "block int, vectors binary").repartition(BLOCKS, "block")
-    table = np.zeros((BLOCKS, BUCKETS * DIMENSIONS // BLOCKS), np.float32)
-    for row in map_batches(parts, total, "block int, vectors binary").collect():  # BLOCKS rows of fixed size
-        table[row.block] = np.frombuffer(row.vectors, np.float32)
-    table = table.reshape(BUCKETS, DIMENSIONS)
+    got = {r.block: np.frombuffer(r.vectors, np.float32) for r in map_batches(parts, total, "block int, vectors binary").collect()}  # BLOCKS rows of fixed size
+    table = np.concatenate([got[k] for k in range(BLOCKS)]) if got else np.zeros(ROWS * DIMENSIONS, np.float32)
+    table = table.reshape(ROWS, DIMENSIONS)
     return table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
 
 
 class Pooling:
-    """Documents as mean word vectors and figures of their form."""
+    """Documents as mean word vectors."""
 
     def __init__(self, table: np.ndarray):
         self.table, self.known = table, Tokens()
 
     def __call__(self, text: str | None) -> np.ndarray:
-        out = np.zeros(DIMENSIONS + len(FORM), np.float32)
-        tokens = tokens_of(text)
-        if tokens:
-            ids = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
-            out[:DIMENSIONS] = np.bincount(ids, minlength=BUCKETS).astype(np.float32) @ self.table / len(ids) if len(ids) > BUCKETS // 4 else self.table[ids].mean(axis=0)
-            triples = ids[:-2] * BUCKETS * BUCKETS + ids[1:-1] * BUCKETS + ids[2:]
-            repeated = 1 - len(np.unique(triples)) / len(triples) if len(triples) else 0.0
-            capitals = sum(map(len, _CAPITALS.findall(text))) / len(text)
-            out[DIMENSIONS:] = repeated, capitals, len(np.unique(ids)) / len(ids), np.log1p(len(ids)) / 10
-        return out
+        ids = self.known.of(text)
+        if not len(ids):
+            return np.zeros(DIMENSIONS, np.float32)
+        if len(ids) > BUCKETS // 4:
+            return np.bincount(ids, minlength=ROWS).astype(np.float32) @ self.table / len(ids)
+        return self.table[ids].mean(axis=0)
 
 
 class Network:
@@ -221,7 +233,7 @@ def score(docs: DataFrame, fitted, text: str = "text") -> DataFrame:
         table, network, heat = in_task(held)
         pooled = Pooling(table)
         for b in batches:
-            x = np.array([pooled(t.as_py()) for t in b[text]], float).reshape(-1, DIMENSIONS + len(FORM))
+            x = np.array([pooled(t.as_py()) for t in b[text]], float).reshape(-1, DIMENSIONS)
             yield {"doc_id": b["doc_id"], "score": pa.array(sigmoid(network(x) / heat))}
 
     kind = dict(docs.dtypes)["doc_id"]
