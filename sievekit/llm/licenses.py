@@ -6,7 +6,8 @@ searched by one Aho-Corasick automaton for notice phrases. Where the automaton
 meets a licence-identifier tag, the raw text after each tag is read as an
 expression: a shunting-yard parser turns and/or/with into postfix order, and
 the postfix form is evaluated to the identifiers named, and to whether a choice
-exists that needs permissive licences only.
+exists that needs permissive licences only. A tag is followed by a colon;
+identifiers outside the list below are no labels and are reported apart.
 
 Edge cases: a null text counts as empty (no words, null first and last word,
 empty labels, score 0); an expression with unbalanced or misplaced parts gives
@@ -34,37 +35,92 @@ BASE_PHRASES = {
     "all rights reserved": "reserved",
 }
 
-#: Further notice phrases: words -> (label, weight as evidence of a licence notice).
+#: Fixed values. Further notice phrases: words -> (label, weight as evidence of a licence notice).
 NOTICE_PHRASES = {
     "mit license": ("mit", 0.9),
     "permission is hereby granted free of charge": ("mit", 0.8),
+    "the above copyright notice and this permission notice shall be included": ("mit", 0.8),
     "apache license": ("apache-2.0", 0.9),
+    "apache software license": ("apache-2.0", 0.9),
     "licensed under the apache license version 2 0": ("apache-2.0", 0.95),
     "bsd license": ("bsd", 0.9),
     "redistribution and use in source and binary forms": ("bsd", 0.8),
+    "2 clause bsd": ("bsd-2-clause", 0.9),
+    "bsd 2 clause": ("bsd-2-clause", 0.9),
+    "simplified bsd license": ("bsd-2-clause", 0.9),
+    "3 clause bsd": ("bsd-3-clause", 0.9),
+    "bsd 3 clause": ("bsd-3-clause", 0.9),
+    "new bsd license": ("bsd-3-clause", 0.9),
+    "neither the name of the copyright holder": ("bsd-3-clause", 0.7),
     "mozilla public license": ("mpl-2.0", 0.9),
     "gnu lesser general public license": ("lgpl", 0.9),
+    "gnu library general public license": ("lgpl", 0.9),
     "gnu affero general public license": ("agpl", 0.9),
+    "gnu free documentation license": ("gfdl", 0.9),
+    "gpl v2": ("gpl", 0.8),
+    "gpl v3": ("gpl", 0.8),
+    "gplv2": ("gpl", 0.8),
+    "gplv3": ("gpl", 0.8),
+    "lgplv2": ("lgpl", 0.8),
+    "lgplv3": ("lgpl", 0.8),
+    "agplv3": ("agpl", 0.8),
+    "eclipse public license": ("epl", 0.9),
+    "european union public licence": ("eupl", 0.9),
+    "common development and distribution license": ("cddl", 0.9),
+    "common public license": ("cpl", 0.8),
+    "artistic license": ("artistic", 0.8),
+    "boost software license": ("bsl-1.0", 0.9),
+    "business source license": ("busl-1.1", 0.9),
+    "server side public license": ("sspl-1.0", 0.9),
+    "elastic license": ("elastic-2.0", 0.8),
+    "microsoft public license": ("ms-pl", 0.9),
+    "python software foundation license": ("psf-2.0", 0.9),
+    "academic free license": ("afl-3.0", 0.9),
+    "open software license": ("osl-3.0", 0.9),
+    "open font license": ("ofl-1.1", 0.9),
+    "open database license": ("odbl-1.0", 0.9),
+    "open government licence": ("ogl", 0.8),
+    "zlib license": ("zlib", 0.8),
+    "isc license": ("isc", 0.8),
+    "the unlicense": ("unlicense", 0.7),
+    "wtfpl": ("wtfpl", 0.8),
     "cc by nc": ("cc-by-nc", 0.9),
     "cc by sa": ("cc-by-sa", 0.9),
     "cc by nd": ("cc-by-nd", 0.9),
+    "cc by nc sa": ("cc-by-nc-sa", 0.9),
+    "cc by nc nd": ("cc-by-nc-nd", 0.9),
     "creative commons attribution": ("cc-by", 0.8),
+    "creative commons attribution sharealike": ("cc-by-sa", 0.9),
+    "creative commons attribution noncommercial": ("cc-by-nc", 0.9),
+    "creative commons zero": ("cc0-1.0", 0.8),
     "cc0": ("cc0-1.0", 0.7),
     "public domain": ("public-domain", 0.5),
-    "isc license": ("isc", 0.8),
-    "the unlicense": ("unlicense", 0.7),
+    "proprietary and confidential": ("proprietary", 0.7),
 }
 BASE_WEIGHTS = {"cc-by": 0.8, "gpl": 0.9, "reserved": 0.6}
 TAG = "spdx license identifier"
 TAG_WEIGHT = 0.99
 
-#: Identifiers whose terms are permissive.
-PERMISSIVE = {"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "cc0-1.0", "unlicense", "zlib", "cc-by-4.0", "0bsd"}
+#: Public licence identifiers, in small letters, whose terms are permissive, and others.
+PERMISSIVE = frozenset(
+    """0bsd afl-3.0 apache-1.1 apache-2.0 artistic-2.0 blueoak-1.0.0 bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause
+    bsd-3-clause-clear bsd-4-clause bsl-1.0 cc-by-3.0 cc-by-4.0 cc-pddc cc0-1.0 curl ecl-2.0 ftl hpnd icu ijg isc libpng
+    libtiff mit mit-0 mit-modern-variant ms-pl mulanpsl-2.0 ncsa ntp openssl php-3.01 pddl-1.0 postgresql psf-2.0 python-2.0
+    ruby sgi-b-2.0 tcl unicode-3.0 unicode-dfs-2016 unlicense upl-1.0 vim w3c wtfpl x11 xnet zlib zlib-acknowledgement zpl-2.1""".split()
+)
+RESTRICTED = frozenset(
+    """agpl-1.0-only agpl-3.0 agpl-3.0-only agpl-3.0-or-later apsl-2.0 artistic-1.0 busl-1.1 cc-by-nc-4.0 cc-by-nc-nd-4.0
+    cc-by-nc-sa-4.0 cc-by-nd-4.0 cc-by-sa-3.0 cc-by-sa-4.0 cddl-1.0 cddl-1.1 cecill-2.1 cpal-1.0 cpl-1.0 elastic-2.0 epl-1.0
+    epl-2.0 eupl-1.1 eupl-1.2 gfdl-1.3-only gfdl-1.3-or-later gpl-1.0-only gpl-1.0-or-later gpl-2.0 gpl-2.0-only
+    gpl-2.0-or-later gpl-3.0 gpl-3.0-only gpl-3.0-or-later ipl-1.0 lgpl-2.0-only lgpl-2.0-or-later lgpl-2.1 lgpl-2.1-only
+    lgpl-2.1-or-later lgpl-3.0 lgpl-3.0-only lgpl-3.0-or-later lppl-1.3c mpl-1.1 mpl-2.0 ms-rl odbl-1.0 ofl-1.1 osl-3.0 qpl-1.0
+    rpl-1.5 sspl-1.0""".split()
+)
 
 _WORD = bytes(
     b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)
 )
-_RAW_TAG = re.compile(r"spdx[^a-z0-9]license[^a-z0-9]identifier[ \t]*:?[ \t]*([^\n\r]*)", re.IGNORECASE | re.ASCII)
+_RAW_TAG = re.compile(r"spdx[^a-z0-9]license[^a-z0-9]identifier[ \t]*:[ \t]*([^\n\r]*)", re.IGNORECASE | re.ASCII)
 _EXPRESSION = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+_-]*")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
@@ -109,8 +165,14 @@ def postfix(expression: str) -> tuple[list[str], bool]:
     return out, good and bool(out)
 
 
+def permissive(identifier: str) -> bool | None:
+    """Whether a licence is permissive; null for identifiers that aren't in the lists. A plus (or later) changes nothing."""
+    name = identifier.rstrip("+")
+    return True if name in PERMISSIVE else False if name in RESTRICTED else None
+
+
 def evaluate(expression: str) -> tuple[set[str], bool | None]:
-    """Identifiers in the expression, and whether permissive licences alone satisfy it (null if ill formed).
+    """Identifiers in the expression, and whether permissive licences alone satisfy it (null if ill formed or if that hangs on an unknown one).
 
     `or` offers a choice, `and` binds both sides, `with` adds an exception to
     the licence on its left and doesn't change the verdict.
@@ -119,17 +181,18 @@ def evaluate(expression: str) -> tuple[set[str], bool | None]:
     named = {t for t in order if t not in _PRECEDENCE}
     if not good:
         return named, None
-    stack: list[tuple[bool, str]] = []
+    stack: list[tuple[bool | None, str]] = []
     for token in order:
         if token in _PRECEDENCE:
             (right, exception), (left, name) = stack.pop(), stack.pop()
             if token == "with":
                 named.discard(exception)
-                stack.append((left, name))
             else:
-                stack.append(((left or right) if token == "or" else (left and right), name))
+                decides = token == "or"  # the value that settles the matter from either side
+                left = decides if decides in (left, right) else None if None in (left, right) else not decides
+            stack.append((left, name))
         else:
-            stack.append((token.rstrip("+") in PERMISSIVE, token))
+            stack.append((permissive(token), token))
     return named, stack[-1][0]
 
 
@@ -143,7 +206,7 @@ def automaton() -> ahocorasick.Automaton:
 
 
 def scan_text(text: str | None, phrases: ahocorasick.Automaton) -> tuple:
-    """(n_words, n_base, first_word, last_word, base_labels, labels, score, expressions, permissive) of one text."""
+    """(n_words, n_base, first_word, last_word, base_labels, labels, score, expressions, permissive, unknown) of one text."""
     words = text.encode("utf-8", "surrogatepass").translate(_WORD).split() if text else []
     line = (b" " + b" ".join(words) + b" ").decode("latin-1")  # one character a byte: phrases are ASCII
     n_base, first, last, base, weight = 0, None, None, set(), {}
@@ -165,7 +228,7 @@ def scan_text(text: str | None, phrases: ahocorasick.Automaton) -> tuple:
             weight[label] = max(weight.get(label, 0.0), w)
     for label in base:
         weight[label] = max(weight.get(label, 0.0), BASE_WEIGHTS[label])
-    expressions, verdicts = [], []
+    expressions, verdicts, unknown = [], [], set()
     if tagged:
         for match in _RAW_TAG.finditer(text):
             named, verdict = evaluate(match[1])
@@ -173,12 +236,15 @@ def scan_text(text: str | None, phrases: ahocorasick.Automaton) -> tuple:
                 expressions.append(" ".join(postfix(match[1])[0]))
                 verdicts.append(verdict)
                 for label in named:
-                    weight[label] = TAG_WEIGHT
+                    if permissive(label) is None:
+                        unknown.add(label)
+                    else:
+                        weight[label] = TAG_WEIGHT
     doubt = 1.0
     for label in sorted(weight):
         doubt *= 1.0 - weight[label]
-    permissive = None if not verdicts or None in verdicts else all(verdicts)
-    return len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(weight)), 1.0 - doubt, expressions, permissive
+    verdict = None if not verdicts or None in verdicts else all(verdicts)
+    return len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(weight)), 1.0 - doubt, expressions, verdict, sorted(unknown)
 
 
 _MADE = {
@@ -191,6 +257,7 @@ _MADE = {
     "score": "double",
     "expressions": "array<string>",
     "permissive": "boolean",
+    "unknown": "array<string>",
 }
 
 
@@ -210,7 +277,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text"))
-    return scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.array_join("expressions", "; ").alias("expressions"), "permissive")
+    return scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.array_join("expressions", "; ").alias("expressions"), "permissive", F.array_join("unknown", ",").alias("unknown"))
 
 
 QUERIES = {"op4_license_scan": op4_license_scan}

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -54,3 +55,36 @@ def test_tags_and_edges(spark):
     (row,) = licenses.scan(rows).collect()
     assert row.labels == "apache-2.0,mit" and row.permissive is True and row.expressions == ["mit apache-2.0 or"]
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_tags_need_a_colon_and_known_identifiers(spark):
+    texts = [
+        "See the SPDX license identifier in every file", "SPDX-License-Identifier: frobnicate", "# SPDX-License-Identifier: (MIT OR frobnicate) AND Zlib",
+        "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0\n# SPDX-License-Identifier: mit",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.permissive, r.unknown) for r in licenses.scan(rows).collect()}
+    assert got == {0: ("", None, []), 1: ("", None, ["frobnicate"]), 2: ("mit,zlib", True, ["frobnicate"]), 3: ("gpl-2.0-only,mit", False, [])}
+
+
+@pytest.mark.parametrize(("expression", "verdict"), [("frob OR MIT", True), ("frob OR GPL-3.0-only", None), ("frob AND GPL-3.0-only", False), ("frob AND MIT", None)])
+def test_unknown_identifiers_leave_a_verdict_open(expression, verdict):
+    assert licenses.evaluate(expression)[1] is verdict
+
+
+def test_labels_and_score_equal_brute_force(spark):
+    draw, pieces = random.Random(8), [*licenses.BASE_PHRASES, *licenses.NOTICE_PHRASES]
+    parts = [*pieces, *(p.upper().replace(" ", "-") for p in pieces), "free", "cc", "by", "general", "the", "license", "2", "0", "\n", "é", "gnu"]
+    texts = [" ".join(draw.choice(parts) for _ in range(draw.randrange(0, 8))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weights = {p: (label, licenses.BASE_WEIGHTS[label]) for p, label in licenses.BASE_PHRASES.items()} | licenses.NOTICE_PHRASES
+    for r in licenses.scan(rows).collect():
+        line = " " + " ".join(re.findall("[a-z0-9é]+", texts[r.doc_id].lower())) + " "
+        found: dict = {}
+        for phrase, (label, weight) in weights.items():
+            if f" {phrase} " in line:
+                found[label] = max(found.get(label, 0), weight)
+        doubt = 1.0
+        for weight in found.values():
+            doubt *= 1 - weight
+        assert r.labels == ",".join(sorted(found)) and abs(r.score - (1 - doubt)) < 1e-12
