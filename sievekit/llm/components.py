@@ -24,6 +24,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge down at most, and no edge leads to a node that has one."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("down")), F.struct(F.col("v").alias("node"), F.lit(None).cast("bigint").alias("down"))))
+    each = edges.select(ends.alias("e")).groupBy("e.node").agg(F.min("e.down").alias("least"), F.max("e.down").alias("most"), F.max(F.col("e.down").isNull()).alias("below"))
+    return each.where("least <> most or (least is not null and below)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of an edge that isn't its component's smallest node.
 
@@ -35,16 +42,11 @@ def components(edges: DataFrame) -> DataFrame:
     logarithm of the largest component. No edges give no rows. The result reads
     a stored table, which its `stored_at` names for forget().
     """
-    now = stored(edges.select("u", "v").where("u <> v").distinct(), "edges")
-
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-
-    before = None
-    while (at := state(now)) != before and at[0]:
+    now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    while not _settled(now):
         after = stored(_small_star(_large_star(now)), "edges")
         forget(now)
-        now, before = after, at
+        now = after
     found = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     found.stored_at = now.stored_at
     return found

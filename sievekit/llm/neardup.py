@@ -336,8 +336,13 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     probable = likely(rest, nodes).select("u", "v").union(in_units(mixed.where(F.col("n") > LARGE), nodes, sets))
     links = confirmed(probable, sets)
 
-    # the stars of the first round and the links of the second
-    joined = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links))
+    # the links of the second round join components of the first: only the components' ids go through star contraction again
+    root_of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    between = links.join(root_of("u"), "u", "left").join(root_of("v"), "v", "left")
+    tops = components(between.select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v")))
+    above = dealt_anew(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root")
+    joined = stored(roots.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(tops), "joined")
+    forget(tops)
     forget(members, mixed, sets, roots)
     release(docs.sparkSession)
     # classes that have links; a component may hold most of them, so they meet its smallest id in SALTS parts
