@@ -6,6 +6,8 @@ distinct score, and everything else is a grouped sum.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,14 +33,14 @@ def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(0.0)
 
 
-def _count(condition: Column) -> Column:
-    return F.coalesce(F.sum(condition.cast("long")), F.lit(0))
+def _count(condition: Column, weight: str | None = None) -> Column:
+    return F.coalesce(F.sum(condition.cast("long") * F.col(weight) if weight else condition.cast("long")), F.lit(0))
 
 
-def detection(df: DataFrame, truth: str = "y_true", prediction: str = "pred", by: list[str] | None = None) -> DataFrame:
-    """accuracy, balanced accuracy, precision, recall, macro F1 and n of 0/1 columns, for each group."""
+def detection(df: DataFrame, truth: str = "y_true", prediction: str = "pred", by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """accuracy, balanced accuracy, precision, recall, macro F1 and n of 0/1 columns, for each group; with weight, rows count as often as it says."""
     t, p = F.col(truth) == 1, F.col(prediction) == 1
-    counts = df.groupBy(*(by or [])).agg(_count(t & p).alias("tp"), _count(~t & p).alias("fp"), _count(~t & ~p).alias("tn"), _count(t & ~p).alias("fn"))
+    counts = df.groupBy(*(by or [])).agg(*[_count(c, weight).alias(n) for n, c in (("tp", t & p), ("fp", ~t & p), ("tn", ~t & ~p), ("fn", t & ~p))])
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
     f1_fake, f1_real = _share(2 * tp, 2 * tp + fp + fn), _share(2 * tn, 2 * tn + fp + fn)
     # macro F1 runs over the labels that occur in the truth or in the predictions
@@ -56,19 +58,45 @@ def detection(df: DataFrame, truth: str = "y_true", prediction: str = "pred", by
     )
 
 
-def sweep(df: DataFrame, truth: str = "y_true", score: str = "score", by: list[str] | None = None) -> DataFrame:
-    """One row for each distinct score, descending: positives and negatives there, and running tp and fp."""
-    by = by or []
-    steps = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("score")).agg(_count(F.col(truth) == 1).alias("p"), _count(F.col(truth) != 1).alias("n"))
-    whole = Window.partitionBy(*by)
-    down = whole.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return steps.select(*by, "score", "p", "n", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(whole).alias("pos"), F.sum("n").over(whole).alias("neg"))
+#: Ranges of scores that a sweep sums inside before it adds up the ranges.
+RANGES = 256
 
 
-def ranking(df: DataFrame, truth: str = "y_true", score: str = "score", by: list[str] | None = None) -> DataFrame:
+def sweep(df: DataFrame, truth: str = "y_true", score: str = "score", by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """One row for each distinct score, descending: positives and negatives there, and running tp and fp.
+
+    No task orders all scores of a group: distinct scores are dealt to RANGES
+    ranges by approximate quantiles, running sums are taken inside a range, and
+    the sums of the higher ranges, of which there are few, are added. With
+    weight, rows count as often as it says.
+    """
+    by = by or []
+    one = F.col(weight) if weight else F.lit(1)
+    rows = df.where(F.col(score).isNotNull())
+    positive = F.coalesce(F.col(truth) == 1, F.lit(False))
+    sums = [F.sum(F.when(c, one).otherwise(0)).cast("long").alias(n) for n, c in (("p", positive), ("n", ~positive))]
+    steps = rows.groupBy(*by, F.col(score).alias("score")).agg(*sums)
+    cuts = steps.groupBy(*by).agg(F.percentile_approx("score", F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)]), F.lit(4 * RANGES)).alias("__cuts"))
+    keyed = steps.join(cuts.select(*[F.col(c).alias(f"__{c}") for c in by], "__cuts"), [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]) if by else steps.crossJoin(F.broadcast(cuts))  # one row
+    keyed = keyed.withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col("score")))).select(*by, "score", "p", "n", "__range")
+    totals = keyed.groupBy(*by, "__range").agg(F.sum("p").alias("__p"), F.sum("n").alias("__n"))
+    whole = Window.partitionBy(*by)
+    above = whole.orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    # at most RANGES rows a group
+    offsets = totals.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__range").alias("__r"), zero(F.sum("__p").over(above)).alias("__tp"), zero(F.sum("__n").over(above)).alias("__fp"), F.sum("__p").over(whole).alias("pos"), F.sum("__n").over(whole).alias("neg"))
+    same = F.col("__range") == F.col("__r")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    inside = Window.partitionBy(*by, "__range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = keyed.select(*by, "score", "p", "n", "__range", F.sum("p").over(inside).alias("__rp"), F.sum("n").over(inside).alias("__rn"))
+    return running.join(offsets, same).select(*by, "score", "p", "n", (F.col("__rp") + F.col("__tp")).alias("tp"), (F.col("__rn") + F.col("__fp")).alias("fp"), "pos", "neg")
+
+
+def ranking(df: DataFrame, truth: str = "y_true", score: str = "score", by: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """auroc (ties count half) and auprc (sum of recall steps times precision, no interpolation); null with one class only."""
     by = by or []
-    rows = sweep(df, truth, score, by)
+    rows = sweep(df, truth, score, by, weight)
     return rows.groupBy(*by).agg(
         F.when((F.max("pos") > 0) & (F.max("neg") > 0), F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2.0)) / F.max(F.col("pos") * F.col("neg"))).alias("auroc"),
         F.when((F.max("pos") > 0) & (F.max("neg") > 0), F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.max("pos")).alias("auprc"),
@@ -185,22 +213,31 @@ def cascade(detector: DataFrame, attributor: DataFrame, key: str, known: list, r
     )
 
 
+def _log_factorial(n: Column) -> Column:
+    """ln n! for whole n: Stirling's series from 16 on, the product below."""
+    x = F.greatest(n, F.lit(16)).cast("double")
+    series = (x + 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5)) - 1 / (1680 * F.pow(x, 7))
+    small = F.element_at(F.array(*[F.lit(math.lgamma(k + 1)) for k in range(16)]), (F.least(n, F.lit(15)) + 1).cast("int"))
+    return F.when(n >= 16, series).otherwise(small)
+
+
 def mcnemar(n01: Column, n10: Column) -> Column:
     """Exact two-sided p: min(1, 2 * sum of C(n, i) / 2**n for i up to the smaller count); 1 without discordant rows.
 
-    Terms follow one another by a ratio and are summed as logarithms, so large
-    counts don't underflow.
+    The sum goes down from its largest term, each next one by a ratio, and ends
+    where a term can't change it any more: after some 20 square roots of n.
     """
     n, k = (n01 + n10).cast("long"), F.least(n01, n10).cast("long")
-    start = F.struct((-n * F.ln(F.lit(2.0))).alias("term"), (-n * F.ln(F.lit(2.0))).alias("total"))
+    first = _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) - n * F.lit(math.log(2.0))
+    terms = F.least(k, (F.sqrt(n.cast("double")) * 20 + 100).cast("long"))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
 
-    def step(state: Column, i: Column) -> Column:
-        term = state["term"] + F.ln((n - i + 1) / i.cast("double"))
-        high = F.greatest(state["total"], term)
-        return F.struct(term.alias("term"), (high + F.ln(F.exp(state["total"] - high) + F.exp(term - high))).alias("total"))
+    def step(state: Column, j: Column) -> Column:
+        term = state["term"] * (k - j + 1) / (n - k + j)
+        return F.struct(term.alias("term"), (state["total"] + term).alias("total"))
 
-    total = F.aggregate(F.when(k >= 1, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>")), start, step, lambda s: s["total"])
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.exp(total)))
+    total = F.aggregate(F.when(terms >= 1, F.sequence(F.lit(1).cast("long"), terms)).otherwise(F.array().cast("array<bigint>")), start, step, lambda s: s["total"])
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.exp(first) * total))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

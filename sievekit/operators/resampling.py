@@ -1,27 +1,68 @@
-"""Bootstrap by hashed indices: the same draws at every run, on every engine."""
+"""Bootstrap by hashed weights: the same draws at every run, on every engine.
+
+A row's number in a replicate is Poisson(1), read off the digits of a hash of the
+replicate and the row's key, so every row draws for itself: there are no ranks, no
+joins and no repeated rows, and cells are summed inside each task before the
+shuffle. Rows of one key (a cluster) are drawn together. Class sizes vary between
+replicates as they do for independent rows; rates inside a class don't depend on
+that, and a replicate without rows of a class has no rate for it.
+"""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Draws that one hash of 64 hex digits makes.
+DRAWS = 4
+
+
+def poisson_limits() -> list[str]:
+    """16 hex digits for each k: hashes from these on mean more than k rows; beyond the last, the chance is below 1e-9."""
+    total, term, limits = 0.0, math.exp(-1), []
+    for k in range(12):
+        total += term
+        limits.append(f"{min(int(total * 2**64), 2**64 - 1):016x}")
+        term /= k + 1
+    return limits
+
 
-def _drawn(rep: Column, stratum: Column, slot: Column, n: Column) -> Column:
-    digits = F.substring(F.sha2(F.concat_ws(":", rep.cast("string"), stratum.cast("string"), slot.cast("string")), 256), 1, 15)
-    return F.conv(digits, 16, 10).cast("bigint") % n
+def replicates(df: DataFrame, key: Column, cells: list[str], reps: int) -> DataFrame:
+    """(rep, *cells, n): how many rows of each cell the replicates draw, from 1 on."""
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-reps // DRAWS) - 1)))
+    hashed = df.select(*cells, key.cast("string").alias("__key")).withColumn("__block", blocks).withColumn("__h", F.sha2(F.concat_ws(":", F.col("__block").cast("string"), "__key"), 256))
+    digits = lambda i: F.substring("__h", 16 * i + 1, 16)
+    weight = lambda i: sum(((digits(i) >= limit).cast("int") for limit in poisson_limits()), F.lit(0))
+    sums = hashed.groupBy("__block", *cells).agg(*[F.sum(weight(i)).alias(f"__w{i}") for i in range(DRAWS)])
+    each = F.explode(F.array(*[F.struct((F.col("__block") * DRAWS + i).alias("rep"), F.col(f"__w{i}").alias("n")) for i in range(DRAWS)])).alias("__e")
+    return sums.select(*cells, each).select("__e.rep", *cells, "__e.n").where((F.col("rep") < reps) & (F.col("n") > 0))
+
+
+def _ranked(df: DataFrame, stratum: str, order: str) -> DataFrame:
+    """Adds __i, from 0 inside each stratum, and its size __n; ranks are taken in 4096 ranges of a hash of the order key."""
+    rows = df.withColumn("__h", F.sha2(F.col(order).cast("string"), 256)).withColumn("__b", F.substring("__h", 1, 3))
+    sizes = rows.groupBy(F.col(stratum).alias("__s"), F.col("__b").alias("__sb")).agg(F.count(F.lit(1)).alias("__c"))
+    whole = Window.partitionBy("__s")
+    before = F.coalesce(F.sum("__c").over(whole.orderBy("__sb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("__s", "__sb", before.alias("__before"), F.sum("__c").over(whole).alias("__n"))
+    rank = F.row_number().over(Window.partitionBy(stratum, "__b").orderBy("__h", order)) - 1
+    ranked = rows.withColumn("__r", rank).join(sizes, F.col(stratum).eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__sb")))
+    return ranked.withColumn("__i", (F.col("__before") + F.col("__r")).cast("long")).drop("__h", "__b", "__r", "__s", "__sb", "__before")
 
 
 def stratified_bootstrap(df: DataFrame, stratum: str, order: str, reps: int) -> DataFrame:
-    """Adds `rep`: each replicate draws as many rows from each stratum as it has, with replacement.
+    """Adds `rep`, from 0: each replicate draws exactly as many rows from each stratum as it has, with replacement.
 
-    The result has reps times the rows of df. Draws are joined to rows by
-    (stratum, index), so nothing is gathered in one place.
+    The result has reps times the rows of df; where sums over cells suffice,
+    replicates() needs neither ranks nor joins.
     """
-    ranked = df.withColumn("__i", F.row_number().over(Window.partitionBy(stratum).orderBy(order)).cast("long") - 1)
-    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("__n"))
-    slots = ranked.select(stratum, F.col("__i").alias("__slot")).join(sizes, stratum).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    draws = slots.select(stratum, "rep", _drawn(F.col("rep"), F.col(stratum), F.col("__slot"), F.col("__n")).alias("__i"))
-    return draws.join(ranked, [stratum, "__i"]).drop("__i")
+    ranked = _ranked(df, stratum, order)
+    slots = ranked.select(stratum, F.col("__i").alias("__slot"), "__n").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    digits = F.substring(F.sha2(F.concat_ws(":", F.col("rep").cast("string"), F.col(stratum).cast("string"), F.col("__slot").cast("string")), 256), 1, 15)
+    draws = slots.select(stratum, "rep", (F.conv(digits, 16, 10).cast("bigint") % F.col("__n")).alias("__i"))
+    return draws.join(ranked.drop("__n"), [stratum, "__i"]).drop("__i")
 
 
 def cluster_bootstrap(df: DataFrame, stratum: str, group: str, reps: int) -> DataFrame:
@@ -30,6 +71,11 @@ def cluster_bootstrap(df: DataFrame, stratum: str, group: str, reps: int) -> Dat
     return stratified_bootstrap(groups, stratum, group, reps).join(df, [stratum, group])
 
 
+def share(hit: Column, n: str = "n") -> Column:
+    """The weighted share of rows for which hit holds."""
+    return F.sum(F.when(hit, F.col(n)).otherwise(0)) / F.sum(n)
+
+
 def interval(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Mean, sample deviation, 2.5 % and 97.5 % points (linear) and number of valid replicates."""
     return df.groupBy(*(by or [])).agg(

@@ -17,22 +17,27 @@ def dedup_keep_first(spark: SparkSession, d: str) -> DataFrame:
 
 
 def signatures(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id and a 56-bit signature: byte k is the fifth byte of the least md5 of "k:shingle" over the text's runs of three words."""
+    """doc_id and a 56-bit signature over the text's runs of three words: byte k ends the least run of 8 digits, from 4k on, of the runs' md5."""
     words = table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("ws"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("ws") - 2, F.lit(1)))
-    words = words.select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("ws", i, 3), " ")))).alias("w"))
-    least = [F.min(F.md5(F.concat(F.lit(f"{k}:"), "w"))).alias(f"m{k}") for k in range(SIGNATURE_BYTES)]
-    byte = lambda k: F.shiftleft(F.conv(F.substring(f"m{k}", 9, 2), 16, 10).cast("bigint"), 8 * k)
+    runs = words.select("doc_id", F.explode(F.transform(starts, lambda i: F.md5(F.array_join(F.slice("ws", i, 3), " ")))).alias("h"))
+    least = [F.min(F.substring("h", 4 * k + 1, 8)).alias(f"m{k}") for k in range(SIGNATURE_BYTES)]
+    byte = lambda k: F.shiftleft(F.conv(F.substring(f"m{k}", 7, 2), 16, 10).cast("bigint"), 8 * k)
     sig = byte(0)
     for k in range(1, SIGNATURE_BYTES):
         sig = sig.bitwiseOR(byte(k))
-    return words.groupBy("doc_id").agg(*least).select("doc_id", sig.alias("sig"))
+    return runs.groupBy("doc_id").agg(*least).select("doc_id", sig.alias("sig"))
 
 
 def near_dup_banded(spark: SparkSession, d: str) -> DataFrame:
     return auditing.banded_pairs(signatures(spark, d), "doc_id", "sig", 8 * SIGNATURE_BYTES, 6)
 
 
+def near_dup_report(spark: SparkSession, d: str) -> DataFrame:
+    """The 200 closest pairs and the number of all pairs."""
+    return auditing.nearest_pairs(near_dup_banded(spark, d))
+
+
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
 
@@ -111,6 +116,7 @@ QUERIES = {
     for f in (
         dedup_keep_first,
         near_dup_banded,
+        near_dup_report,
         contamination_semi,
         contamination_anti,
         reconcile_missing_extra,
@@ -125,16 +131,18 @@ QUERIES = {
 }
 
 _LINES = "with l as (select doc_id, unnest(string_split(text, chr(10))) line from documents), b as (select distinct line from (select unnest(string_split(text, chr(10))) line from benchmark) where line <> '')"
-_BYTES = ", ".join(f"min(md5('{k}:' || w)) m{k}" for k in range(SIGNATURE_BYTES))
-_SIG = " | ".join(f"(cast('0x' || substr(m{k}, 9, 2) as bigint) << {8 * k})" for k in range(SIGNATURE_BYTES))
+_BYTES = ", ".join(f"min(substr(h, {4 * k + 1}, 8)) m{k}" for k in range(SIGNATURE_BYTES))
+_SIG = " | ".join(f"(cast('0x' || substr(m{k}, 7, 2) as bigint) << {8 * k})" for k in range(SIGNATURE_BYTES))
+_NEAR = f"""
+with s as (select doc_id, string_split(text, ' ') ws from documents), i as (select doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) i from s),
+w as (select doc_id, md5(array_to_string(list_slice(ws, i, i + 2), ' ')) h from i), m as (select doc_id, {_BYTES} from w group by doc_id),
+c as (select {_SIG} sig, min(doc_id) doc_id from m group by 1),
+np as (select a.doc_id a, b.doc_id b, cast(bit_count(xor(a.sig, b.sig)) as integer) distance from c a join c b on a.doc_id < b.doc_id where bit_count(xor(a.sig, b.sig)) <= 6)"""
 
 ORACLES = {
     "dedup_keep_first": "select min(doc_id) doc_id, count(*) n_copies from documents group by sha256(text)",
-    "near_dup_banded": f"""
-with s as (select doc_id, string_split(text, ' ') ws from documents), i as (select doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) i from s),
-w as (select distinct doc_id, array_to_string(list_slice(ws, i, i + 2), ' ') w from i), m as (select doc_id, {_BYTES} from w group by doc_id),
-c as (select {_SIG} sig, min(doc_id) doc_id from m group by 1)
-select a.doc_id a, b.doc_id b, cast(bit_count(xor(a.sig, b.sig)) as integer) distance from c a join c b on a.doc_id < b.doc_id where bit_count(xor(a.sig, b.sig)) <= 6""",
+    "near_dup_banded": f"{_NEAR} select * from np",
+    "near_dup_report": f"{_NEAR} select a, b, distance, (select count(*) from np) n_pairs from np order by distance, a, b limit 200",
     "contamination_semi": f"{_LINES} select distinct doc_id from l join b on l.line = b.line",
     "contamination_anti": f"{_LINES} select doc_id from documents where doc_id not in (select doc_id from l join b on l.line = b.line)",
     "reconcile_missing_extra": """

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audits, models, scoring, splits
+from . import audits, lookups, models, scoring, splits
 
-MODULES = (splits, audits, scoring, models)
+MODULES = (splits, audits, scoring, lookups, models)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

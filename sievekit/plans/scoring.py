@@ -16,7 +16,7 @@ from sievekit.operators import metrics, resampling, splitting
 from sievekit.sources.tables import table
 
 KNOWN = [0, 1, 2, 3, 4, 5]
-REPS = 50
+REPS = 2000
 
 
 def _rounded(df: DataFrame, *keep: str) -> DataFrame:
@@ -158,26 +158,45 @@ def in_set_populations(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(many.groupBy("population").agg(F.count(F.lit(1)).alias("n"), F.avg(right).alias("top1"), F.avg("confidence").alias("confidence")))
 
 
-def _recalls(rows: DataFrame, by: list[str]) -> DataFrame:
-    right = (F.col("pred_class") == F.col("true_class")).cast("double")
-    per = rows.groupBy(*by, "true_class").agg(F.avg(right).alias("recall"))
-    return per.groupBy(*by).agg(F.avg("recall").alias("balanced_accuracy"))
+def _recalls(reps: DataFrame) -> DataFrame:
+    per = reps.groupBy("rep", "true_class").agg(resampling.share(F.col("hit")).alias("recall"))
+    return per.groupBy("rep").agg(F.avg("recall").alias("balanced_accuracy"))
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    return predicted(spark, d).select("vec_id", "true_class", "grp", (F.col("pred_class") == F.col("true_class")).alias("hit"))
 
 
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    reps = resampling.stratified_bootstrap(predicted(spark, d).select("vec_id", "true_class", "pred_class"), "true_class", "vec_id", REPS)
-    return _rounded(resampling.interval(_recalls(reps, ["rep"]), "balanced_accuracy"))
+    reps = resampling.replicates(_hits(spark, d), F.col("vec_id"), ["true_class", "hit"], REPS)
+    return _rounded(resampling.interval(_recalls(reps), "balanced_accuracy"))
 
 
 def bootstrap_class_ci(spark: SparkSession, d: str) -> DataFrame:
-    reps = resampling.stratified_bootstrap(predicted(spark, d).select("vec_id", "true_class", "pred_class"), "true_class", "vec_id", REPS)
-    right = (F.col("pred_class") == F.col("true_class")).cast("double")
-    return _rounded(resampling.interval(reps.groupBy("true_class", "rep").agg(F.avg(right).alias("recall")), "recall", ["true_class"]))
+    reps = resampling.replicates(_hits(spark, d), F.col("vec_id"), ["true_class", "hit"], REPS)
+    per = reps.groupBy("true_class", "rep").agg(resampling.share(F.col("hit")).alias("recall"))
+    return _rounded(resampling.interval(per, "recall", ["true_class"]))
 
 
 def bootstrap_cluster_ci(spark: SparkSession, d: str) -> DataFrame:
-    reps = resampling.cluster_bootstrap(predicted(spark, d).select("vec_id", "true_class", "pred_class", "grp"), "true_class", "grp", REPS)
-    return _rounded(resampling.interval(_recalls(reps, ["rep"]), "balanced_accuracy"))
+    reps = resampling.replicates(_hits(spark, d), F.col("grp"), ["true_class", "hit"], REPS)
+    return _rounded(resampling.interval(_recalls(reps), "balanced_accuracy"))
+
+
+def bootstrap_detection_ci(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals of the detector's accuracy, macro F1, AUROC and AUPRC."""
+    rows = metrics.drop_errors(scored(spark, d), "pred")
+    reps = resampling.replicates(rows, F.col("doc_id"), ["y_true", "pred", "score"], REPS)
+    both = metrics.detection(reps, by=["rep"], weight="n").select("rep", "accuracy", "macro_f1").join(metrics.ranking(reps, by=["rep"], weight="n").select("rep", "auroc", "auprc"), "rep")
+    return _rounded(resampling.interval(both.unpivot(["rep"], ["accuracy", "macro_f1", "auroc", "auprc"], "metric", "value"), "value", ["metric"]))
+
+
+def bootstrap_group_ci(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals of the detection rate of each language's fakes."""
+    fakes = metrics.drop_errors(scored(spark, d), "pred").where("y_true = 1")
+    reps = resampling.replicates(fakes, F.col("doc_id"), ["lang", "pred"], REPS)
+    per = reps.groupBy("lang", "rep").agg(resampling.share(F.col("pred") == 1).alias("rate"))
+    return _rounded(resampling.interval(per, "rate", ["lang"]))
 
 
 def _paired(spark: SparkSession, d: str) -> DataFrame:
@@ -190,15 +209,29 @@ def mcnemar(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("lang", "n10", "n01", F.round(metrics.mcnemar(F.col("n01"), F.col("n10")), 9).alias("p"))
 
 
-def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """Difference of the two models' balanced accuracies over shared draws, with a two-sided p."""
-    reps = resampling.stratified_bootstrap(_paired(spark, d), "y_true", "doc_id", REPS)
-    per = reps.groupBy("rep", "y_true").agg((F.avg(F.col("a").cast("double")) - F.avg(F.col("b").cast("double"))).alias("d"))
-    diff = per.groupBy("rep").agg(F.round(F.avg("d"), 12).alias("d"))
+def _difference(diff: DataFrame) -> DataFrame:
+    """Mean, interval and two-sided p of d."""
+    diff = diff.withColumn("d", F.round("d", 12))
     down, up = F.avg((F.col("d") <= 0).cast("double")), F.avg((F.col("d") >= 0).cast("double"))
     return _rounded(diff.agg(F.avg("d").alias("mean"), F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"), F.least(F.lit(1.0), 2 * F.least(down, up)).alias("p")))
 
 
+def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Difference of the two models' balanced accuracies over shared draws, with a two-sided p."""
+    reps = resampling.replicates(_paired(spark, d), F.col("doc_id"), ["y_true", "a", "b"], REPS)
+    per = reps.groupBy("rep", "y_true").agg((resampling.share(F.col("a")) - resampling.share(F.col("b"))).alias("d"))
+    return _difference(per.groupBy("rep").agg(F.avg("d").alias("d")))
+
+
+def paired_auroc(spark: SparkSession, d: str) -> DataFrame:
+    """Difference of the two models' AUROCs over shared draws, with a two-sided p."""
+    rows = metrics.drop_errors(scored(spark, d), "pred")
+    reps = resampling.replicates(rows, F.col("doc_id"), ["y_true", "score", "score_b"], REPS)
+    both = reps.select("rep", "y_true", "n", F.explode(F.array(F.struct(F.lit(1).alias("sign"), "score"), F.struct(F.lit(-1).alias("sign"), F.col("score_b").alias("score")))).alias("m")).select("rep", "y_true", "n", "m.sign", "m.score")
+    each = metrics.ranking(both, by=["rep", "sign"], weight="n").where("auroc is not null")
+    return _difference(each.groupBy("rep").agg(F.sum(F.col("sign") * F.col("auroc")).alias("d")))
+
+
 def method_comparison(spark: SparkSession, d: str) -> DataFrame:
     rows = metrics.drop_errors(scored(spark, d), "pred")
     first = metrics.detection(rows).withColumn("method", F.lit("a"))
@@ -243,8 +276,11 @@ QUERIES = {
         bootstrap_ci,
         bootstrap_class_ci,
         bootstrap_cluster_ci,
+        bootstrap_detection_ci,
+        bootstrap_group_ci,
         mcnemar,
         paired_bootstrap,
+        paired_auroc,
         method_comparison,
         report_rollup,
         seed_sweep,
@@ -295,14 +331,21 @@ m as (select *, hits::double / support recall, case when predicted > 0 then hits
 _ATTRIBUTION = "select coalesce(sum(support), 0)::bigint n, round(coalesce(sum(hits)::double / sum(support), 0), 9) top1, round(coalesce(avg(f1), 0), 9) macro_f1, round(coalesce(avg(recall), 0), 9) balanced_accuracy from m"
 
 
-def _draws(rows: str, stratum: str, order: str) -> str:
+def _draws(rows: str, key: str, cells: str) -> str:
+    weight = " + ".join(f"(d >= '{limit}')::int" for limit in resampling.poisson_limits())
     return f"""
-rk as (select *, row_number() over (partition by {stratum} order by {order}) - 1 i from {rows}), sz as (select {stratum}, count(*) n from {rows} group by {stratum}),
-dr as (select rk.{stratum}, rep, cast('0x' || substr(sha256(rep || ':' || rk.{stratum} || ':' || i), 1, 15) as bigint) % n as i from rk join sz on sz.{stratum} = rk.{stratum}, range({REPS}) t(rep)),
-bs as (select rk.* exclude (i), rep from dr join rk on rk.{stratum} = dr.{stratum} and rk.i = dr.i)"""
-
-
-_BALANCED = "ba as (select rep, avg(recall) v from (select rep, true_class, avg((pred_class = true_class)::int::double) recall from bs group by rep, true_class) group by rep)"
+bh as (select {cells}, block, sha256(block || ':' || {key}) h from {rows}, range({REPS // resampling.DRAWS}) t(block)),
+bd as (select {cells}, {resampling.DRAWS} * block + unnest([0, 1, 2, 3]) rep, unnest([substr(h, 1, 16), substr(h, 17, 16), substr(h, 33, 16), substr(h, 49, 16)]) d from bh),
+bs as (select {cells}, rep, sum({weight})::bigint n from bd group by all having sum({weight}) > 0)"""
+
+
+_BALANCED = "ba as (select rep, avg(recall) v from (select rep, true_class, sum(case when hit then n else 0 end)::double / sum(n) recall from bs group by rep, true_class) group by rep)"
+_HITS = f"{_P}, ph as (select *, pred_class = true_class hit from p)"
+_AREAS = """
+st as (select {by}, score, sum(case when y_true = 1 then n else 0 end)::bigint p, sum(case when y_true <> 1 then n else 0 end)::bigint q from {rows} group by {by}, score),
+sw as (select *, sum(p) over (partition by {by} order by score desc rows unbounded preceding)::bigint tp, sum(q) over (partition by {by} order by score desc rows unbounded preceding)::bigint fp, sum(p) over (partition by {by})::bigint pos, sum(q) over (partition by {by})::bigint neg from st),
+ar as (select {by}, sum(q * (tp - p / 2.0::double)) / max(pos * neg) auroc, sum(p * tp::double / (tp + fp)) / max(pos) auprc from sw where pos > 0 and neg > 0 group by {by})"""
+_DIFFERENCE = "select round(avg(v), 9) mean, round(quantile_cont(v, 0.025), 9) low, round(quantile_cont(v, 0.975), 9) high, round(least(1, 2 * least(avg((v <= 0)::int::double), avg((v >= 0)::int::double))), 9) p from df"
 _INTERVAL = "round(avg(v), 9) mean, round(stddev_samp(v), 9) std, round(quantile_cont(v, 0.025), 9) low, round(quantile_cont(v, 0.975), 9) high, count(v) n_reps"
 _C = f"""{_P}, c0 as (select *, ({_h(11, 'vec_id')} < case when true_class = 0 then 0.2 else 0.85 end)::int detected, true_class in (1, 2, 3, 4, 5) known_fake from p),
 c1 as (select *, case when detected = 1 then cast(pred_class as varchar) else '__not_detected__' end pipeline_class, not known_fake and true_class <> 0 out_of_set_fake from c0)"""
@@ -336,13 +379,22 @@ ORACLES = {
     "cascade": f"with {_C} select true_class, count(*) n, round(avg(detected::double), 9) detection_recall, round(avg(case when detected = 1 then (pred_class = true_class)::int::double end), 9) conditional_accuracy, round(avg((pipeline_class = cast(true_class as varchar))::int::double), 9) end_to_end_recall from c1 where known_fake group by true_class",
     "cascade_forced": f"with {_C} select out_of_set_fake, pipeline_class, count(*) n from c1 where not known_fake group by 1, 2",
     "in_set_populations": f"with {_P}, q as (select unnest(list_filter(['all_in_scope', case when true_class > 0 then 'all_fakes' end, case when true_class in (0, 1, 2, 3, 4, 5) then 'in_set' else 'out_of_set' end], lambda x: x is not null)) population, true_class, pred_class, confidence from p) select population, count(*) n, round(avg((pred_class = true_class)::int::double), 9) top1, round(avg(confidence), 9) confidence from q group by population",
-    "bootstrap_ci": f"with {_P}, {_draws('p', 'true_class', 'vec_id')}, {_BALANCED} select {_INTERVAL} from ba",
-    "bootstrap_class_ci": f"with {_P}, {_draws('p', 'true_class', 'vec_id')}, ba as (select true_class, rep, avg((pred_class = true_class)::int::double) v from bs group by true_class, rep) select true_class, {_INTERVAL} from ba group by true_class",
-    "bootstrap_cluster_ci": f"with {_P}, gr as (select distinct true_class, grp from p), {_draws('gr', 'true_class', 'grp').replace('bs as', 'b0 as')}, bs as (select p.*, rep from b0 join p on p.true_class = b0.true_class and p.grp = b0.grp), {_BALANCED} select {_INTERVAL} from ba",
+    "bootstrap_ci": f"with {_HITS}, {_draws('ph', 'vec_id', 'true_class, hit')}, {_BALANCED} select {_INTERVAL} from ba",
+    "bootstrap_class_ci": f"with {_HITS}, {_draws('ph', 'vec_id', 'true_class, hit')}, ba as (select true_class, rep, sum(case when hit then n else 0 end)::double / sum(n) v from bs group by true_class, rep) select true_class, {_INTERVAL} from ba group by true_class",
+    "bootstrap_cluster_ci": f"with {_HITS}, {_draws('ph', 'grp', 'true_class, hit')}, {_BALANCED} select {_INTERVAL} from ba",
+    "bootstrap_detection_ci": f"""with {_S}, {_draws('s1', 'doc_id', 'y_true, pred, score')}, {_AREAS.format(by='rep', rows='bs')},
+k as (select rep, sum(case when y_true = 1 and pred = 1 then n else 0 end) tp, sum(case when y_true <> 1 and pred = 1 then n else 0 end) fp, sum(case when y_true <> 1 and pred <> 1 then n else 0 end) tn, sum(case when y_true = 1 and pred <> 1 then n else 0 end) fn from bs group by rep),
+u as (select 'accuracy' metric, (tp + tn)::double / (tp + fp + tn + fn) v from k
+  union all select 'macro_f1', (case when tp + fp + fn > 0 then 2.0::double * tp / (2 * tp + fp + fn) else 0 end + case when tn + fp + fn > 0 then 2.0::double * tn / (2 * tn + fp + fn) else 0 end) / ((tp + fp + fn > 0)::int + (tn + fp + fn > 0)::int) from k
+  union all select 'auroc', auroc from ar union all select 'auprc', auprc from ar)
+select metric, {_INTERVAL} from u group by metric""",
+    "bootstrap_group_ci": f"with {_S}, sf as (select * from s1 where y_true = 1), {_draws('sf', 'doc_id', 'lang, pred')}, ba as (select lang, rep, sum(case when pred = 1 then n else 0 end)::double / sum(n) v from bs group by lang, rep) select lang, {_INTERVAL} from ba group by lang",
     "mcnemar": f"""with {_PAIRED}, k as (select lang, sum((a and not b)::int)::bigint n10, sum((not a and b)::int)::bigint n01 from pr group by lang),
 t as (select lang, n10, n01, unnest(range(0, least(n10, n01) + 1)) i from k), g as (select lang, n10, n01, sum(exp(lgamma(n10 + n01 + 1) - lgamma(i + 1) - lgamma(n10 + n01 - i + 1) - (n10 + n01) * ln(2))) s from t group by lang, n10, n01)
 select lang, n10, n01, round(case when n10 + n01 = 0 then 1 else least(1, 2 * s) end, 9) p from g""",
-    "paired_bootstrap": f"with {_PAIRED}, {_draws('pr', 'y_true', 'doc_id')}, df as (select rep, round(avg(d), 12) v from (select rep, y_true, avg(a::int::double) - avg(b::int::double) d from bs group by rep, y_true) group by rep) select round(avg(v), 9) mean, round(quantile_cont(v, 0.025), 9) low, round(quantile_cont(v, 0.975), 9) high, round(least(1, 2 * least(avg((v <= 0)::int::double), avg((v >= 0)::int::double))), 9) p from df",
+    "paired_bootstrap": f"with {_PAIRED}, {_draws('pr', 'doc_id', 'y_true, a, b')}, df as (select rep, round(avg(d), 12) v from (select rep, y_true, sum(case when a then n else 0 end)::double / sum(n) - sum(case when b then n else 0 end)::double / sum(n) d from bs group by rep, y_true) group by rep) {_DIFFERENCE}",
+    "paired_auroc": f"""with {_S}, {_draws('s1', 'doc_id', 'y_true, score, score_b')}, bm as (select rep, y_true, n, unnest([1, -1]) sign, unnest([score, score_b]) score from bs),
+{_AREAS.format(by='rep, sign', rows='bm')}, df as (select rep, round(sum(sign * auroc), 12) v from ar group by rep) {_DIFFERENCE}""",
     "method_comparison": f"with {_METHODS} select * from mc",
     "report_rollup": f"with {_METHODS}, u as (select method, 'accuracy' metric, accuracy as value from mc union all select method, 'balanced_accuracy', balanced_accuracy from mc union all select method, 'macro_f1', macro_f1 from mc) select method, metric, value, row_number() over (partition by metric order by value desc, method) place from u",
     "seed_sweep": f"""with {_S}, w as (select s1.*, seed, substr(sha256(seed || ':' || doc_id), 1, 16) k from s1, range(1, 6) t(seed)),
