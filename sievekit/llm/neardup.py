@@ -58,6 +58,8 @@ BATCH = 24
 MISS = 1e-6
 #: Pivots of a class that the first round confirms on full sets; the second round takes what is left.
 FIRST = 2
+#: Orders from which the pivots of a group's bands come.
+ORDERS = 12
 #: Parts in which a component's classes are joined with its smallest id.
 SALTS = 16
 #: Members of a bucket from which it is worked through in units, and members and outsiders of a unit.
@@ -308,8 +310,8 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = stored(sketches.select("doc_id", "n_shingles", "node"), "rows")
     forget(sketched)
     keyed = nodes.select("node", F.explode("bands").alias("key"))
-    # the pivot is drawn by hash, so that a group has other pivots in other bands
-    drawn = F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node"))["node"]
+    # the pivot is the first in one of ORDERS hashed orders, so that a group has some pivots, but not another in each band
+    drawn = F.min(F.struct(F.xxhash64(F.pmod("key", F.lit(ORDERS)), "node").alias("h"), "node"))["node"]
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), drawn.alias("pivot")).where("n > 1").drop("n")
     members = stored(keyed.join(dealt_anew(shared, "key"), "key"), "members")
     release(docs.sparkSession)
