@@ -95,19 +95,22 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     def count(batches: Iterator[dict]) -> Iterator[dict]:
         known, (places, signs) = Tokens(), index_vectors()
-        table, held, size = np.zeros(ROWS * DIMENSIONS), [], 0
+        # one more row stands between texts, so that these aren't neighbours
+        places, signs = np.vstack([places, places[:1]]), np.vstack([signs, 0 * signs[:1]])
+        between = np.full(REACH, ROWS)
+        table, held, size = np.zeros((ROWS + 1) * DIMENSIONS), [], 0
 
         def add() -> None:
             ids = np.concatenate(held)
             for step in range(1, REACH + 1):
                 for word, other in ((ids[step:], ids[:-step]), (ids[:-step], ids[step:])):
                     for k in range(NONZERO):
-                        table[:] += np.bincount(word * DIMENSIONS + places[other, k], signs[other, k], ROWS * DIMENSIONS)
+                        table[:] += np.bincount(word * DIMENSIONS + places[other, k], signs[other, k], len(table))
 
         for b in batches:
             for t in b[text]:
                 if len(ids := known.of(t.as_py())):
-                    held.append(ids)
+                    held += [ids, between]
                     size += len(ids)
             if size > 2_000_000:
                 add()
@@ -115,7 +118,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
         if held:
             add()
         if table.any():
-            parts = np.array_split(table.astype(np.float32), BLOCKS)
+            parts = np.array_split(table[: ROWS * DIMENSIONS].astype(np.float32), BLOCKS)
             yield {"block": list(range(BLOCKS)), "vectors": [p.tobytes() for p in parts]}
 
     def total(batches: Iterator[dict]) -> Iterator[dict]:
