@@ -50,3 +50,9 @@ def test_empty_table_and_clashing_columns(spark):
     assert bpe.digests(empty, PATH).collect() == []
     rows = spark.createDataFrame([(1, "x", "old"), (1, "x", "old")], "doc_id long, text string, n_tokens string")
     assert [r.n_tokens for r in bpe.digests(rows, PATH).collect()] == [1, 1]
+
+
+def test_unknown_ids_and_nulls_decode_to_nothing(spark, library):
+    ids = library.encode("some words", add_special_tokens=False).ids
+    rows = spark.createDataFrame([(1, [ids[0], None, 10**8, *ids[1:], -3]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.decoded for r in bpe.decode(rows, PATH).collect()} == {1: "some words", 2: "", 3: ""}

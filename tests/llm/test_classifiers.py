@@ -126,3 +126,108 @@ def test_bigrams_seen_once_have_mass(spark):
     assert np.isclose(models.pair_p[1][at(two, three)], (2 - steps[2]) / (2 + toxicity.CONTEXT))
     back = models.back[1][np.searchsorted(models.words, three)]
     assert np.isclose(back, (2 * steps[1] + toxicity.CONTEXT) / (2 + toxicity.CONTEXT))
+
+
+def test_word_vectors_and_pooling_equal_brute_force(spark):
+    texts = ["one two THREE one two three, 42 one two THREE one", None, "", "A", "lone LONE lone LONE lone LONE"]
+    table = quality.word_vectors(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    places, signs = quality.index_vectors()
+    again = []
+    for text in texts:
+        ids, tokens = [], quality.tokens_of(text)
+        plain = [quality.xxhash.xxh64_intdigest(t) % quality.BUCKETS for t in tokens]
+        for i, t in enumerate(tokens):
+            ids.append(plain[i])
+            if len(t) > 1 and t.isupper():
+                ids.append(quality.CAPITALS)
+            if any(plain[j - 2 : j + 1] == plain[i - 2 : i + 1] for j in range(2, i)) and i >= 2:
+                ids.append(quality.AGAIN)
+        again.append(ids)
+    brute = np.zeros((quality.ROWS, quality.DIMENSIONS))
+    for ids in again:
+        for i, w in enumerate(ids):
+            for j in range(max(0, i - quality.REACH), min(len(ids), i + quality.REACH + 1)):
+                if i != j:
+                    np.add.at(brute[w], places[ids[j]], signs[ids[j]])
+    assert np.allclose(table, brute / np.maximum(np.linalg.norm(brute, axis=1, keepdims=True), 1e-9), atol=1e-6)
+    pooled = quality.Pooling(table)
+    for text, ids in zip(texts, again):
+        assert np.allclose(pooled(text), table[ids].mean(axis=0) if ids else 0, atol=1e-6)
+
+
+def test_differences_equal_the_formulas(spark):
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    draw = random.Random(5)
+    vocabulary = ["alpha", "alphas", "alphabet", "beta", "betas", "gamma", "gam", "delta", "eps"]
+    train = [(" ".join(draw.choice(vocabulary[y * 3 :]) for _ in range(draw.randrange(2, 30))), y) for y in (0, 1) for _ in range(8)]
+    corpus_texts = [t for t, _ in train] + ["zeta alpha", "alphanumeric zeta zeta"]
+    tests = ["alpha beta gamma", "alphas alphas delta", "zeta alphazzz alpha", "gamma", *[t for t, _ in train[:3]]]
+
+    def words(text):
+        out = []
+        for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()):
+            if not out or out[-1] != w:
+                out.append(w)
+        return out
+
+    stem = lambda w: w[: toxicity.STEM]
+    df_word, df_stem = Counter(), Counter()
+    for t in corpus_texts:
+        found = set(re.findall(r"\w+", t))
+        df_word.update(found), df_stem.update({stem(w) for w in found})
+    pairs = [Counter(), Counter()]
+    for t, y in train:
+        w = words(t)
+        pairs[y].update(zip(["<s>", *w[:-1]], w))
+    known = {w for c in pairs for _, w in c}
+    stems = {stem(w) for w in known}
+    mass = sum(df_stem.values()) + toxicity.PRIOR * (len(known) + 1 + len(stems))
+    in_stem = {s: df_stem[s] + toxicity.PRIOR * (1 + sum(stem(w) == s for w in known)) for s in stems}
+
+    def model(counts):
+        before, size = Counter(w for _, w in counts), defaultdict(int)
+        for (h, _), n in counts.items():
+            size[h] += n
+        steps = toxicity.discounts(Counter(n for n in counts.values() if n < 5))
+        total = sum(before.values())
+        of_stem = Counter()
+        for w, n in before.items():
+            of_stem[stem(w)] += n
+        cut = lambda table, keys: toxicity.discounts(Counter(table[k] for k in keys if table[k] < 5))
+        stem_steps, word_steps = cut(of_stem, stems), cut(before, known | {"<s>"})
+        off_stem = {s: stem_steps[min(of_stem[s], 3)] for s in stems}
+        off_word = {w: word_steps[min(before[w], 3)] for w in known}
+        stem_back, back = sum(off_stem.values()) / total, sum(off_word.values()) / total
+        p_stem = {s: (of_stem[s] - off_stem[s]) / total + stem_back * in_stem[s] / mass for s in stems}
+
+        def p(h, w):
+            if w in known:
+                within = (df_word[w] + toxicity.PRIOR) / max(in_stem[stem(w)], df_word[w] + toxicity.PRIOR)
+                base = (before[w] - off_word[w]) / total + back * p_stem[stem(w)] * within
+            else:
+                base = back * p_stem[stem(w)] * 1e-4 if stem(w) in stems else back * stem_back * 1e-9
+            mine = [n for (g, _), n in counts.items() if g == h]
+            lam = (sum(steps[min(n, 3)] for n in mine) + toxicity.CONTEXT) / (size[h] + toxicity.CONTEXT) if mine else 1.0
+            n = counts[h, w]
+            return lam * base + ((n - steps[min(n, 3)]) / (size[h] + toxicity.CONTEXT) if n else 0.0)
+
+        return p
+
+    ordinary, toxic = map(model, pairs)
+    rows = spark.createDataFrame(train, "text string, y int")
+    bigrams = toxicity.bigram_counts(rows)
+    classes = [toxicity.Counts(bigrams, y) for y in (0, 1)]
+    counted = toxicity.document_counts(spark.createDataFrame([(t,) for t in corpus_texts], "text string")).toPandas()
+    kept = counted.groupby("w").n.max()
+    order = np.argsort(kept.index.to_numpy().view(np.uint64))
+    shared = kept.index.to_numpy().view(np.uint64)[order], kept.to_numpy()[order]
+    models = toxicity.Models(classes, shared, float(counted[counted.stem].n.sum()))
+    ends, got, _ = toxicity.Scorer(models).differences(pa.array(tests))
+    for low, high, t in zip(ends, ends[1:], tests):
+        w = words(t)
+        assert high - low == len(w)
+        brute = [math.log(toxic(h, x) / ordinary(h, x)) for h, x in zip(["<s>", *w[:-1]], w)]
+        assert np.allclose(got[low:high], brute, atol=1e-4), t

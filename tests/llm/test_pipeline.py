@@ -58,3 +58,23 @@ def test_extra_columns_with_clashing_names(spark, tmp_path):
 
 def test_modules_hold_their_queries():
     assert set(rules.QUERIES) == {"op7_quality_rules"} and set(neardup.QUERIES) == {"op3_minhash_neardup"} and set(privacy.QUERIES) == {"op6_private_spans"}
+
+
+def test_rows_are_judged_not_ids(spark, tmp_path):
+    """Repeated ids with other texts, and null ids with copies and leaks, against brute force by row."""
+    draw = random.Random(16)
+    word = lambda: "".join(draw.choice(["ba", "de", "li", "mo", "ru", "sa", "ti", "ne", "ko"]) for _ in range(draw.randrange(1, 6)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    item, (a, b, c, d, e) = text(36), (text(60) for _ in range(5))
+    leak = f"{text(30)} {item} {text(30)}"
+    rows = [(5, a, "en"), (5, b, "de"), (1, c, "en"), (None, c, "en"), (None, d, "fr"), (None, d, "fr"), (None, leak, "en"), (5, leak + " end", "en"), (None, e, "es"), (7, e + " more", "es"), (8, "", "en"), (8, "", "en"), (8, None, "en")]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stage = dict(corpus_pipeline.STAGES)
+    plain = lambda df: sorted((str(r.doc_id), str(r.text), r.lang) for r in df.collect())
+    second = stage["minhash_neardup"](spark, docs.repartition(3), str(tmp_path))
+    # of each group the row with the smallest id, null last; rows without words are in no group
+    kept = [(5, a, "en"), (5, b, "de"), (1, c, "en"), (None, d, "fr"), (5, leak + " end", "en"), (7, e + " more", "es"), (8, "", "en"), (8, "", "en"), (8, None, "en")]
+    assert plain(second) == sorted((str(i), str(t), lang) for i, t, lang in kept)
+    third = stage["decontamination"](spark, docs, str(tmp_path))
+    assert plain(third) == sorted((str(i), str(t), lang) for i, t, lang in rows if item not in (t or ""))
