@@ -114,8 +114,12 @@ class Vocabulary:
         return ids
 
     def decode(self, ids: list[int]) -> str:
-        """The text of the ids; bytes that aren't UTF-8 become U+FFFD."""
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        """The text of the ids; bytes that aren't UTF-8 become U+FFFD, nulls and ids outside the vocabulary stand for nothing."""
+        known = self.bytes_of
+        try:
+            return b"".join(map(known.__getitem__, ids)).decode("utf-8", "replace")
+        except KeyError:
+            return b"".join(known[i] for i in ids if i in known).decode("utf-8", "replace")
 
 
 class Encoder:
@@ -167,7 +171,7 @@ def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", into: str
 
 
 def decode(rows: DataFrame, vocabulary_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """Adds the text that each array of ids stands for; null ids decode to the empty text."""
+    """Adds the text that each array of ids stands for; a null array decodes to the empty text, nulls and unknown ids in it are left out."""
     vocabulary = to_tasks(rows.sparkSession, Vocabulary.load(vocabulary_path))
     rest = [c for c in rows.columns if c != into]
 
