@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -17,8 +17,8 @@ def as_vectors(df: DataFrame, features: str) -> DataFrame:
 
 
 def weighted(df: DataFrame, label: str) -> DataFrame:
-    """Adds `weight`, which balances the classes; there are few classes, so their table is broadcast."""
-    return df.join(F.broadcast(class_weights(df, label).select(F.col("class").alias(label), "weight")), label)
+    """Adds `weight`, which balances the classes."""
+    return df.join(class_weights(df, label).select(F.col("class").alias(label), "weight"), label)
 
 
 def fit_linear_svm(train: DataFrame, label: str) -> PipelineModel:
@@ -34,7 +34,7 @@ def margins(model: PipelineModel, df: DataFrame) -> DataFrame:
     return scored.withColumns({"score": margin, "pred": (margin >= 0).cast("int")}).drop("vector", "scaled", "rawPrediction", "prediction")
 
 
-def probe_importances(df: DataFrame, columns: list[str], label: str, trees: int = 100, seed: int = 42) -> DataFrame:
+def probe_importances(df: DataFrame, columns: list[str], label: str, trees: int = 300, seed: int = 42) -> DataFrame:
     """(feature, importance) of a random forest that tells the labels apart by metadata alone."""
     rows = VectorAssembler(inputCols=columns, outputCol="vector").transform(df.dropna(subset=[*columns, label]))
     forest = RandomForestClassifier(featuresCol="vector", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=10, seed=seed)
@@ -49,9 +49,18 @@ def fit_components(train: DataFrame, want: int) -> PipelineModel:
     return Pipeline(stages=[StandardScaler(inputCol="vector", outputCol="scaled", withMean=True, withStd=True), PCA(k=rank, inputCol="scaled", outputCol="components")]).fit(train)
 
 
-def fit_perceptron(train: DataFrame, label: str, classes: int, hidden: int = 32, seed: int = 42) -> PipelineModel:
-    size = len(train.select("vector").first().vector)
-    return Pipeline(stages=[MultilayerPerceptronClassifier(featuresCol="vector", labelCol=label, layers=[size, hidden, classes], maxIter=100, seed=seed)]).fit(train)
+def fit_channels(train: DataFrame, channels: dict[str, int]) -> dict[str, PipelineModel]:
+    """A scaler and PCA of its own for each array column, with the wanted ranks, all fitted to the same rows."""
+    return {c: fit_components(as_vectors(train, c), want) for c, want in channels.items()}
+
+
+def fused(models: dict[str, PipelineModel], df: DataFrame, into: str = "components") -> DataFrame:
+    """Adds the channels' components, one channel after the other, as one array."""
+    for i, (column, model) in enumerate(models.items()):
+        made = model.transform(as_vectors(df, column)).withColumn(f"__c{i}", vector_to_array("components"))
+        df = made.drop("vector", "scaled", "components")
+    parts = [f"__c{i}" for i in range(len(models))]
+    return df.withColumn(into, F.concat(*parts)).drop(*parts)
 
 
 def centroids(train: DataFrame, label: str, features: str) -> DataFrame:
@@ -65,7 +74,7 @@ def nearest_centroid(df: DataFrame, heads: DataFrame, key: str, features: str) -
 
     One array holds all classes' products, so a row is never multiplied.
     """
-    # as many entries as classes
+    # one row with as many entries as classes
     table = heads.agg(F.sort_array(F.collect_list(F.struct("class", "centroid"))).alias("heads"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
     rows = df.crossJoin(F.broadcast(table))

@@ -57,7 +57,7 @@ def metadata_features(df: DataFrame) -> DataFrame:
 
 
 def occurrences(df: DataFrame, source: str, order: str, n: int) -> DataFrame:
-    """How often a source was used before (turn) and which of its n uses this is (use)."""
+    """How often a source was used before (turn) and which of its n uses this is (use); the uses of one source are ordered in one task."""
     at = F.row_number().over(Window.partitionBy(source).orderBy(order)) - 1
     return df.withColumn("turn", F.floor(at / n).cast("int")).withColumn("use", F.pmod(at, F.lit(n)).cast("int"))
 

@@ -78,15 +78,22 @@ def sample_round_robin(df: DataFrame, key: str, source: str, sources: list[str],
     return ranked.where(F.col("rank") <= cap).orderBy("rank", "source_position").limit(cap)
 
 
+#: Folds that leave_one_out() makes at most: each copies the table once.
+MOST_FOLDS = 1000
+
+
 def leave_one_out(df: DataFrame, label: str, key: str, group: str | None, val: float = 0.1, seed: int = 42) -> DataFrame:
     """One fold for each class: `fold`, and `role` test, val, train or dropped.
 
     The held-out class is the test set; rows that share an explicit group with
     it are dropped. The number of folds is the number of classes, so each row
-    is copied that often.
+    is copied that often; a label with more than MOST_FOLDS classes raises.
     """
-    folds = df.select(F.col(label).alias("fold")).distinct()
-    rows = df.crossJoin(F.broadcast(folds))
+    classes = [r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct().limit(MOST_FOLDS + 1).collect()]
+    if len(classes) > MOST_FOLDS:
+        raise ValueError(f"{label} has more than {MOST_FOLDS} classes")
+    kind = df.schema[label].dataType
+    rows = df.withColumn("fold", F.explode(F.array(*[F.lit(c).cast(kind) for c in sorted(classes)]) if classes else F.array().cast(f"array<{kind.simpleString()}>")))
     if group is not None:
         explicit = F.col(group).isNotNull() & (F.col(group) != F.col(key).cast("string"))
         held = df.where(explicit).select(F.col(group).alias("__g"), F.col(label).alias("__f")).distinct()

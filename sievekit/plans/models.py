@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievekit.functions import kernels
-from sievekit.operators import learning, splitting
+from sievekit.operators import heads, learning, splitting
 from sievekit.plans.splits import _hex
 from sievekit.sources.tables import table
 
@@ -32,7 +32,7 @@ def linear_svm(spark: SparkSession, d: str) -> DataFrame:
 def rf_probe(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.ln(F.greatest(F.length("text"), F.lit(1))).alias("log_size"), F.size(F.split("text", "\n")).cast("double").alias("lines"), F.regexp_count("text", F.lit("[0-9]")).cast("double").alias("digits"))
     labels = table(spark, d, "labels").select("doc_id", "quality")
-    return learning.probe_importances(docs.join(labels, "doc_id"), ["log_size", "lines", "digits"], "quality", trees=20)
+    return learning.probe_importances(docs.join(labels, "doc_id"), ["log_size", "lines", "digits"], "quality")
 
 
 def pca_train_only(spark: SparkSession, d: str) -> DataFrame:
@@ -41,10 +41,31 @@ def pca_train_only(spark: SparkSession, d: str) -> DataFrame:
     return model.transform(rows).select("vec_id", "split", learning.vector_to_array("components").alias("components"))
 
 
+def pca_two_channels(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprint and cosine channels, each scaled and projected by what the training rows show."""
+    rows = _split(spark, d).withColumns({"print": kernels.over_array(lambda g: kernels.fingerprint(g, 8), 8, 8, F.col("embedding")), "cosine": kernels.over_array(kernels.log_dct, 8, 8, F.col("embedding"))})
+    models = learning.fit_channels(rows.where("split = 'train'"), {"print": 16, "cosine": 8})
+    return learning.fused(models, rows).select("vec_id", "split", "components")
+
+
+#: Classes that the heads don't see, so that their rows are forced into others.
+UNSEEN = [8, 9]
+
+
 def mlp_head(spark: SparkSession, d: str) -> DataFrame:
-    rows = learning.as_vectors(_split(spark, d), "embedding")
-    model = learning.fit_perceptron(rows.where("split = 'train'"), "label", 10)
-    return model.transform(rows.where("split = 'test'")).select("vec_id", "label", F.col("prediction").cast("int").alias("pred_class"), F.array_max(learning.vector_to_array("probability")).alias("confidence"))
+    """A head fitted to eight classes scores the test rows of all ten."""
+    rows = _split(spark, d)
+    known = rows.where(~F.col("label").isin(UNSEEN))
+    head = heads.fit_head(known.where("split = 'train'"), known.where("split = 'val'"), "label", "embedding", rounds=10, rate=3e-3)
+    test = rows.where("split = 'test'").select("vec_id", "label", "embedding")
+    return heads.scored(test, head, "embedding").select("vec_id", "label", (~F.col("label").isin(UNSEEN)).alias("in_set"), "pred_class", "confidence", "entropy")
+
+
+def fingerprint_head(spark: SparkSession, d: str) -> DataFrame:
+    """A head over fused fingerprint and cosine components."""
+    rows = pca_two_channels(spark, d).join(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id").where(~F.col("label").isin(UNSEEN))
+    head = heads.fit_head(rows.where("split = 'train'"), rows.where("split = 'val'"), "label", "components", rounds=10, rate=3e-3)
+    return heads.scored(rows.where("split = 'test'"), head, "components").select("vec_id", "label", "pred_class", "confidence")
 
 
 def _long(rows: DataFrame, *keys: str) -> DataFrame:
@@ -85,7 +106,9 @@ QUERIES = {
     "linear_svm": linear_svm,
     "rf_probe": rf_probe,
     "pca_train_only": pca_train_only,
+    "pca_two_channels": pca_two_channels,
     "mlp_head": mlp_head,
+    "fingerprint_head": fingerprint_head,
     "dct2": _kernel(kernels.log_dct),
     "fft_spectrum": _kernel(kernels.spectrum),
     "srm_response": _kernel(lambda g: kernels.high_pass_response(g, extremes=True)),

@@ -116,6 +116,17 @@ def metrics_json(row: DataFrame) -> str:
     return row.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).first()[0]
 
 
+def read_config(path: str, env: dict[str, str] | None = None):
+    """A JSON or YAML file of nested values with its ${NAME}s replaced; a YAML file needs the yaml package."""
+    with open(path, encoding="utf-8") as file:
+        text = file.read()
+    if path.endswith(".json"):
+        return resolve_config(json.loads(text), env)
+    import yaml
+
+    return resolve_config(yaml.safe_load(text), env)
+
+
 def resolve_config(values, env: dict[str, str] | None = None):
     """Replaces ${NAME} in strings of nested values; the environment wins, and a missing name is a KeyError."""
     env = dict(os.environ) if env is None else env

@@ -1,4 +1,5 @@
 import json
+import zlib
 
 import numpy as np
 import pytest
@@ -78,3 +79,34 @@ def test_streaming_group_splits_and_log(spark, tmp_path):
         query.stop()
     rows = spark.read.parquet(str(tmp_path / "log"))
     assert rows.count() == 2 and set(rows.columns) == {"k", "g", "split"}
+
+
+def test_captions_labels_and_metrics_files(spark, tmp_path):
+    (tmp_path / "captions.csv").write_text("full_path\tblip_caption\na/b/1.png\ta cat\n")
+    assert readers.read_captions(spark, str(tmp_path / "captions.csv")).count() == 1
+    rows = spark.createDataFrame([("x/real/1.png",), ("x/fake/2.png",)], "path string")
+    assert [r[0] for r in rows.select(readers.folder_label(rows["path"])).collect()] == ["real", "fake"]
+    assert json.loads(readers.metrics_json(spark.createDataFrame([(1, None, 0.5)], "n int, name string, auroc double"))) == {"n": 1, "name": None, "auroc": 0.5}
+
+
+def test_image_folders(spark, tmp_path):
+    part = lambda kind, data: len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+    size = (7).to_bytes(4, "big") + (5).to_bytes(4, "big") + b"\x08\x00\x00\x00\x00"
+    header = b"\x89PNG\r\n\x1a\n" + part(b"IHDR", size) + part(b"IDAT", zlib.compress(bytes(8) * 5)) + part(b"IEND", b"")
+    for name, data in (("real/a.png", header), ("real/deep/b.png", header), ("fake/c.png", b"broken"), ("fake/note.txt", b"")):
+        path = tmp_path / "images" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(data)
+    got = {r.filename: (r.width, r.height) for r in readers.scan_images(spark, str(tmp_path / "images")).collect()}
+    assert got == {"a.png": (7, 5), "b.png": (7, 5), "c.png": (-1, -1)}
+    assert {r.filename for r in readers.scan_images(spark, str(tmp_path / "images"), exclude="^b").collect()} == {"a.png", "c.png"}
+
+
+def test_config_files(tmp_path):
+    (tmp_path / "c.json").write_text('{"root": "${ROOT}/x", "sizes": [1, 2]}')
+    assert readers.read_config(str(tmp_path / "c.json"), {"ROOT": "/data"}) == {"root": "/data/x", "sizes": [1, 2]}
+    pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text("root: ${ROOT}/x\nsizes: [1, 2]\n")
+    assert readers.read_config(str(tmp_path / "c.yaml"), {"ROOT": "/data"}) == {"root": "/data/x", "sizes": [1, 2]}
+    with pytest.raises(KeyError):
+        readers.read_config(str(tmp_path / "c.yaml"), {})
