@@ -402,9 +402,9 @@ def _core(page: Page, inside: list[int], scope: Node) -> list[int]:
     plain = lambda k: lines[k].size == 0 or _plain(lines[k].node, around) and not _is_links(lines[k])
     while first > 0 and plain(first - 1):
         first -= 1
-    while behind > first and lines[behind - 1].size and not plain(behind - 1) and lines[behind - 1].size < SURGE:
+    while lines[behind - 1].size < SURGE <= sum(weights[first : behind - 1]) and not plain(behind - 1):
         behind -= 1
-        while behind > first and lines[behind - 1].size == 0:
+        while lines[behind - 1].size == 0:
             behind -= 1
     while behind < len(lines) and plain(behind):
         behind += 1
