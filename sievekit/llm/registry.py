@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, contamination, infill, licenses, maintext, neardup, privacy, quality, rules, secrets, toxicity, warc
+from . import bpe, contamination, divergence, infill, licenses, maintext, neardup, privacy, quality, rules, secrets, toxicity, warc
 
-MODULES = (bpe, contamination, infill, licenses, maintext, neardup, privacy, quality, rules, secrets, toxicity, warc)
+MODULES = (bpe, contamination, divergence, infill, licenses, maintext, neardup, privacy, quality, rules, secrets, toxicity, warc)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
