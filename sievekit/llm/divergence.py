@@ -31,6 +31,7 @@ no rows, and other columns of the documents aren't read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +48,7 @@ LEAST, RAISED, WHOLE = 10, 2, 10**9
 TOP = 10
 #: Sources of a block, and postings of a bucket of terms in the mean.
 BLOCK, BUCKET = 256, 1 << 16
-#: Entries that a task holds before it hands its counts on.
+#: Terms of groups that a task holds, but for those of one batch, before it hands their counts on.
 HELD = 1 << 19
 
 WORDS = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -58,30 +59,25 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents of each term in each group; the term '' stands for the group itself."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        held: dict[tuple[str, str, str], list[int]] = {}
+        # for each group, the occurrences and the documents of its terms
+        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
-        def flushed() -> dict:
-            keys, values = list(held), list(held.values())
+        def flushed() -> Iterator[dict]:
+            for (lang, source), (counts, found) in held.items():
+                size = len(counts)
+                yield {"lang": pa.repeat(pa.scalar(lang), size), "source": pa.repeat(pa.scalar(source), size), "term": list(counts), "n": list(counts.values()), "docs": [found[t] for t in counts]}
             held.clear()
-            return dict(zip(("lang", "source", "term"), zip(*keys))) | {"n": [v[0] for v in values], "docs": [v[1] for v in values]}
 
         for b in batches:
             for lang, source, text in zip(b["lang"].to_pylist(), b["source"].to_pylist(), b["text"].to_pylist()):
-                held.setdefault((lang, source, ""), [0, 0])[1] += 1
-                counts: dict[str, int] = {}
-                for word in WORDS.findall(text.encode().translate(LOWER).decode()):
-                    counts[word] = counts.get(word, 0) + 1
-                for word, n in counts.items():
-                    entry = held.get((lang, source, word))
-                    if entry is None:
-                        held[lang, source, word] = [n, 1]
-                    else:
-                        entry[0] += n
-                        entry[1] += 1
-                if len(held) >= HELD:
-                    yield flushed()
-        if held:
-            yield flushed()
+                counts, found = held.setdefault((lang, source), (Counter({"": 0}), Counter()))
+                words = WORDS.findall(text.encode().translate(LOWER).decode())
+                counts.update(words)
+                found.update(set(words))
+                found[""] += 1
+            if sum(len(counts) for counts, _ in held.values()) >= HELD:
+                yield from flushed()
+        yield from flushed()
 
     whole = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     parts = map_batches(whole, run, "lang string, source string, term string, n long, docs long")
