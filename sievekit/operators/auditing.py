@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import nearness
+
 
 def keep_first(df: DataFrame, content: Column, order: str) -> DataFrame:
     """(content, first, n): the first row of each content by an explicit order, and how many rows have it."""
@@ -18,31 +18,13 @@ def spanning(df: DataFrame, content: Column, split: str = "split") -> DataFrame:
     return df.groupBy(content.alias("content")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(split).alias("n_splits")).where("n_splits > 1")
 
 
-def banded_pairs(df: DataFrame, key: str, signature: str, bits: int, distance: int, spare: int = 3) -> DataFrame:
+def banded_pairs(df: DataFrame, key: str, signature: str, bits: int, distance: int) -> DataFrame:
     """(a, b, distance) of all classes of equal signatures within a Hamming distance, a < b being their smallest keys.
 
-    The signature is cut into distance + spare blocks. A pair within the distance
-    differs in at most `distance` of them, so it agrees on `spare` whole blocks at
-    least: an equal join on every choice of `spare` blocks loses none. More spare
-    blocks make more, but longer and so rarer keys; a key is a third of 56 bits
-    with the defaults of a distance of 6. A pair is kept where its first common
-    choice is met, so nothing has to be made distinct. Rows of equal signature
-    are one class, so blank or copied content adds no pairs.
+    Rows of equal signature are one class, so blank or copied content adds no pairs.
     """
     classes = df.groupBy(F.col(signature).alias("sig")).agg(F.min(key).alias("key"))
-    blocks = distance + spare
-    ends = [bits * k // blocks for k in range(blocks + 1)]
-    masks = [((1 << ends[k + 1]) - 1) ^ ((1 << ends[k]) - 1) for k in range(blocks)]
-    choices = [sum(masks[k] for k in chosen) for chosen in itertools.combinations(range(blocks), spare)]
-    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
-    table = F.array(*[F.lit(signed(m)).cast("long") for m in choices])
-    keyed = classes.select("key", "sig", F.posexplode(table).alias("choice", "mask"))
-    keyed = keyed.select("key", "sig", "choice", F.col("sig").bitwiseAND(F.col("mask")).alias("value"))
-    other = keyed.select("choice", "value", F.col("key").alias("b"), F.col("sig").alias("sig_b"))
-    differing = F.col("sig").bitwiseXOR(F.col("sig_b"))
-    pairs = keyed.join(other, ["choice", "value"]).where(F.col("key") < F.col("b")).where(F.bit_count(differing) <= distance)
-    first = F.array_position(F.transform(table, lambda m: differing.bitwiseAND(m) == 0), F.lit(True)) - 1
-    return pairs.where(first == F.col("choice")).select(F.col("key").alias("a"), "b", F.bit_count(differing).alias("distance"))
+    return nearness.within(classes, ["key"], ["sig"], bits, distance).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), "distance")
 
 
 def nearest_pairs(pairs: DataFrame, most: int = 200) -> DataFrame:

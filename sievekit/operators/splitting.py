@@ -39,6 +39,15 @@ def assign_splits(df: DataFrame, key: str, stratum: str, group: str | None = Non
     return df.withColumn("split", F.when(F.col("__own"), by_rank).otherwise(by_group)).drop(*made)
 
 
+def reconstruct(df: DataFrame, key: str, stratum: str, in_set: Column, group: str | None = None, **how) -> DataFrame:
+    """The split that a training run made of its classes, for an audit of the whole table: rows outside the set are `unseen`.
+
+    They don't take part in ranking, so the other rows fall as they did in the run.
+    """
+    inside = F.coalesce(in_set, F.lit(False))
+    return assign_splits(df.where(inside), key, stratum, group, **how).unionByName(df.where(~inside).withColumn("split", F.lit("unseen")))
+
+
 def straddling_groups(df: DataFrame, key: str, group: str, split: str = "split") -> DataFrame:
     """Explicit groups (group <> key) with more than one row: size, number of splits, and whether they straddle."""
     explicit = df.where(F.col(group).isNotNull() & (F.col(group) != F.col(key).cast("string")))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievekit.operators import auditing
-from sievekit.sources.tables import table
+from sievekit.operators import auditing, nearness, splitting
+from sievekit.plans.splits import _split
+from sievekit.sources.tables import spread, table
 
-SIGNATURE_BYTES = 7
+SIGNATURE_BYTES, WIDE_BYTES = 7, 14
+#: Languages of the population that a split is reconstructed for; all others are unseen.
+IN_SET = ["de", "en", "fr"]
 
 
 def dedup_keep_first(spark: SparkSession, d: str) -> DataFrame:
@@ -16,17 +21,59 @@ def dedup_keep_first(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("first").alias("doc_id"), F.col("n").alias("n_copies"))
 
 
-def signatures(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id and a 56-bit signature over the text's runs of three words: byte k ends the least run of 8 digits, from 4k on, of the runs' md5."""
-    words = table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("ws"))
+def _bytes_of_minima(hashes: str, n: int) -> list[Column]:
+    """Byte k ends the least run of 8 digits, from 4k on, of the hashes in an array."""
+    least = lambda k: F.array_min(F.transform(hashes, lambda h: F.substring(h, 4 * k + 1, 8)))
+    return [F.conv(F.substring(least(k), 7, 2), 16, 10).cast("bigint") for k in range(n)]
+
+
+def _word(parts: list[Column]) -> Column:
+    word = parts[0]
+    for k, part in enumerate(parts[1:], 1):
+        word = word.bitwiseOR(F.shiftleft(part, 8 * k))
+    return word
+
+
+def _runs(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    """Adds h, the digests of a text's runs of three words; a shorter text is one run."""
     starts = F.sequence(F.lit(1), F.greatest(F.size("ws") - 2, F.lit(1)))
-    runs = words.select("doc_id", F.explode(F.transform(starts, lambda i: F.md5(F.array_join(F.slice("ws", i, 3), " ")))).alias("h"))
-    least = [F.min(F.substring("h", 4 * k + 1, 8)).alias(f"m{k}") for k in range(SIGNATURE_BYTES)]
-    byte = lambda k: F.shiftleft(F.conv(F.substring(f"m{k}", 7, 2), 16, 10).cast("bigint"), 8 * k)
-    sig = byte(0)
-    for k in range(1, SIGNATURE_BYTES):
-        sig = sig.bitwiseOR(byte(k))
-    return runs.groupBy("doc_id").agg(*least).select("doc_id", sig.alias("sig"))
+    return docs.withColumn("ws", F.split("text", " ")).withColumn("h", F.transform(starts, lambda i: digest(F.array_join(F.slice("ws", i, 3), " ")))).drop("ws", "text")
+
+
+def signatures(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id and a 56-bit signature over the text's runs of three words, by bytes of the minima of their md5."""
+    docs = table(spark, d, "documents").select("doc_id", "text").where("text is not null")
+    return _runs(spread(docs), F.md5).select("doc_id", _word(_bytes_of_minima("h", SIGNATURE_BYTES)).alias("sig"))
+
+
+def wide_signatures(docs: DataFrame) -> DataFrame:
+    """Replaces text by two words of 56 bits, by bytes of the minima of the runs' sha256."""
+    rows = _runs(spread(docs.where("text is not null")), lambda run: F.sha2(run, 256))
+    parts = _bytes_of_minima("h", WIDE_BYTES)
+    return rows.withColumns({"low": _word(parts[:7]), "high": _word(parts[7:])}).drop("h")
+
+
+def audited_split(spark: SparkSession, d: str) -> DataFrame:
+    """Documents under the split of a run over the languages IN_SET, which ignored copies; other languages are unseen."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    return splitting.reconstruct(docs, "doc_id", "lang", F.col("lang").isin(IN_SET))
+
+
+def split_reconstruction(spark: SparkSession, d: str) -> DataFrame:
+    return audited_split(spark, d).groupBy("split", "lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+def near_dup_cross_split(spark: SparkSession, d: str) -> DataFrame:
+    """Near copies in different splits, one of them val, test or unseen: a row for each pair of classes of equal signature and split."""
+    rows = wide_signatures(audited_split(spark, d).select("doc_id", "split", "text"))
+    return nearness.cross_split(rows, "doc_id", ["low", "high"], 8 * WIDE_BYTES, width=56)
+
+
+def near_dup_cross_report(spark: SparkSession, d: str) -> DataFrame:
+    """The 200 closest of these pairs, each with the number of all pairs of classes and of rows."""
+    pairs = near_dup_cross_split(spark, d)
+    n = pairs.agg(F.count(F.lit(1)).alias("n_class_pairs"), F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("n_all"))  # one row
+    return pairs.orderBy("distance", "a", "b", "split_a", "split_b").limit(200).crossJoin(F.broadcast(n))
 
 
 def near_dup_banded(spark: SparkSession, d: str) -> DataFrame:
@@ -117,6 +164,9 @@ QUERIES = {
         dedup_keep_first,
         near_dup_banded,
         near_dup_report,
+        split_reconstruction,
+        near_dup_cross_split,
+        near_dup_cross_report,
         contamination_semi,
         contamination_anti,
         reconcile_missing_extra,
@@ -139,7 +189,23 @@ w as (select doc_id, md5(array_to_string(list_slice(ws, i, i + 2), ' ')) h from
 c as (select {_SIG} sig, min(doc_id) doc_id from m group by 1),
 np as (select a.doc_id a, b.doc_id b, cast(bit_count(xor(a.sig, b.sig)) as integer) distance from c a join c b on a.doc_id < b.doc_id where bit_count(xor(a.sig, b.sig)) <= 6)"""
 
+_LOW, _HIGH = (" | ".join(f"(cast('0x' || substr(m{k}, 7, 2) as bigint) << {8 * (k - begin)})" for k in range(begin, begin + 7)) for begin in (0, 7))
+_AUDITED = f"""
+in_set as (select doc_id, lang, '' grp from documents where lang in ('de', 'en', 'fr')), {_split("in_set", "doc_id", "lang", False)},
+sp as (select doc_id, lang, split from s union all select doc_id, lang, 'unseen' from documents where lang is null or lang not in ('de', 'en', 'fr'))"""
+_CROSS = f"""
+with {_AUDITED}, t as (select doc_id, string_split(text, ' ') ws from documents where text is not null), i as (select doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) i from t),
+w as (select doc_id, sha256(array_to_string(list_slice(ws, i, i + 2), ' ')) h from i), m as (select doc_id, {", ".join(f"min(substr(h, {4 * k + 1}, 8)) m{k}" for k in range(WIDE_BYTES))} from w group by doc_id),
+g as (select doc_id, {_LOW} low, {_HIGH} high from m),
+c as (select low, high, split, split in ('val', 'test', 'unseen') probing, min(doc_id) k, count(*) n from g join sp using (doc_id) group by low, high, split),
+x as (select a.k a, a.split split_a, a.n n_a, b.k b, b.split split_b, b.n n_b, cast(bit_count(xor(a.low, b.low)) + bit_count(xor(a.high, b.high)) as integer) distance, a.n * b.n n_pairs
+  from c a join c b on a.split <> b.split where a.probing and (not b.probing or a.k < b.k or (a.k = b.k and a.split < b.split))
+  and bit_count(xor(a.low, b.low)) + bit_count(xor(a.high, b.high)) <= 6)"""
+
 ORACLES = {
+    "split_reconstruction": f"with {_AUDITED} select split, lang, count(*) n from sp group by split, lang",
+    "near_dup_cross_split": f"{_CROSS} select * from x",
+    "near_dup_cross_report": f"{_CROSS} select *, (select count(*) from x) n_class_pairs, (select cast(coalesce(sum(n_pairs), 0) as bigint) from x) n_all from x order by distance, a, b, split_a, split_b limit 200",
     "dedup_keep_first": "select min(doc_id) doc_id, count(*) n_copies from documents group by sha256(text)",
     "near_dup_banded": f"{_NEAR} select * from np",
     "near_dup_report": f"{_NEAR} select a, b, distance, (select count(*) from np) n_pairs from np order by distance, a, b limit 200",

@@ -6,15 +6,13 @@ the source of its later turns, a document's language its class.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievekit.functions.hashing import hash_fraction
 from sievekit.operators import auditing, learning, projecting, splitting
 from sievekit.sources import readers
+from sievekit.sources.shared import new_path
 from sievekit.sources.tables import table
 
 LANGUAGES = ["de", "en", "es", "fr"]
@@ -24,16 +22,6 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
 
 
-def _shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir, which all executors share; a temporary one only where that is unset and the master is local."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp()
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def prefix_filter(spark: SparkSession, d: str) -> DataFrame:
     return projecting.has_prefix(table(spark, d, "pages"), "url", "https://").select("page_id", "url")
 
@@ -182,7 +170,7 @@ def frame_unions(spark: SparkSession, d: str) -> DataFrame:
 
 def file_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Languages' detection counts through the CSV writer and both readers, in the folder that all executors share."""
-    path = _shared_path(spark, "round-trip")
+    path = new_path(spark, "round-trip")
     counts = _documents(spark, d).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.max("n_chars").alias("most"))
     readers.write_csv(counts, path)
     text = readers.read_strings(spark, path)
@@ -193,7 +181,7 @@ def model_reload(spark: SparkSession, d: str) -> DataFrame:
     """A linear SVM that is saved and loaded again scores as before: how many test rows differ."""
     rows = learning.as_vectors(splitting.assign_splits(table(spark, d, "embeddings"), "vec_id", "label").withColumn("y_true", (F.col("label") >= 5).cast("int")), "embedding")
     model = learning.fit_linear_svm(rows.where("split = 'train'"), "y_true")
-    path = _shared_path(spark, "model")
+    path = new_path(spark, "model")
     model.write().save(path)
     test = rows.where("split = 'test'")
     before = learning.margins(model, test).select("vec_id", F.col("score").alias("before"))
