@@ -8,7 +8,7 @@ from the same digits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievekit.functions.hashing import hash_fraction
@@ -183,6 +183,45 @@ def bootstrap_cluster_ci(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(resampling.interval(_recalls(reps), "balanced_accuracy"))
 
 
+def _supports(per: DataFrame, size: Column) -> DataFrame:
+    """Smallest and largest number of units that a replicate draws: one number, where draws keep the classes' sizes."""
+    return per.groupBy("rep").agg(F.sum(size).alias("n")).agg(F.min("n").alias("least_drawn"), F.max("n").alias("most_drawn"))  # one row
+
+
+def bootstrap_stratified_ci(spark: SparkSession, d: str) -> DataFrame:
+    """Balanced accuracy over draws that keep the size of each class."""
+    reps = resampling.multinomial_cells(_hits(spark, d), "true_class", ["hit"], REPS)
+    return _rounded(resampling.interval(_recalls(reps), "balanced_accuracy")).crossJoin(F.broadcast(_supports(reps, F.col("n"))))
+
+
+def bootstrap_stratified_cluster_ci(spark: SparkSession, d: str) -> DataFrame:
+    """The same over groups, of which each class draws as many as it has; groups with equal hits and sizes are one cell."""
+    groups = _hits(spark, d).groupBy("true_class", "grp").agg(F.count_if("hit").alias("hits"), F.count(F.lit(1)).alias("size"))
+    reps = resampling.multinomial_cells(groups, "true_class", ["hits", "size"], REPS)
+    per = reps.groupBy("rep", "true_class").agg((F.sum(F.col("n") * F.col("hits")) / F.sum(F.col("n") * F.col("size"))).alias("recall"))
+    balanced = per.groupBy("rep").agg(F.avg("recall").alias("balanced_accuracy"))
+    return _rounded(resampling.interval(balanced, "balanced_accuracy")).crossJoin(F.broadcast(_supports(reps, F.col("n"))))
+
+
+def continuous(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, y_true and two scores that aren't rounded, so that hardly any are tied."""
+    labels = table(spark, d, "labels").select("doc_id", F.col("toxic").alias("y_true"))
+    h = lambda seed: hash_fraction(seed, F.col("doc_id"))
+    return labels.withColumns({"score": h(1) * 0.6 + F.col("y_true") * h(2) * 0.4, "score_b": h(3) * 0.7 + F.col("y_true") * h(4) * 0.3})
+
+
+def auroc_ci(spark: SparkSession, d: str) -> DataFrame:
+    """Interval of the AUROC of continuous scores."""
+    return _rounded(resampling.interval(resampling.auroc_replicates(continuous(spark, d), "doc_id", "y_true", "score", REPS), "auroc"))
+
+
+def paired_auroc_continuous(spark: SparkSession, d: str) -> DataFrame:
+    """Difference of the AUROCs of two continuous scores over shared draws, with a two-sided p."""
+    rows = continuous(spark, d)
+    a, b = (resampling.auroc_replicates(rows, "doc_id", "y_true", s, REPS).withColumnRenamed("auroc", s) for s in ("score", "score_b"))
+    return _difference(a.join(b, "rep").select((F.col("score") - F.col("score_b")).alias("d")))
+
+
 def bootstrap_detection_ci(spark: SparkSession, d: str) -> DataFrame:
     """Intervals of the detector's accuracy, macro F1, AUROC and AUPRC."""
     rows = metrics.drop_errors(scored(spark, d), "pred")
@@ -276,6 +315,10 @@ QUERIES = {
         bootstrap_ci,
         bootstrap_class_ci,
         bootstrap_cluster_ci,
+        bootstrap_stratified_ci,
+        bootstrap_stratified_cluster_ci,
+        auroc_ci,
+        paired_auroc_continuous,
         bootstrap_detection_ci,
         bootstrap_group_ci,
         mcnemar,
@@ -361,7 +404,35 @@ def _best(split: str) -> str:
     return f"(with {sweep} select score threshold from sw where pos > 0 and neg > 0 order by tp::double / pos - fp::double / neg desc, score desc limit 1)"
 
 
+def _multinomial(rows: str, stratum: str, cells: str, levels: int) -> str:
+    """CTEs that end in mn(rep, stratum, cells, n): draws that keep the size of each stratum, for up to 2**levels cells of one."""
+    ctes = [
+        f"lv as (select {stratum}, {cells}, count(*)::bigint sz, row_number() over (partition by {stratum} order by {cells}) - 1 place from {rows} group by {stratum}, {cells})",
+        f"d0 as (select {stratum}, rep, 0::bigint node, sum(sz)::bigint n from lv, range({REPS}) t(rep) group by {stratum}, rep)",
+    ]
+    for level in range(levels):
+        height = levels - level
+        ctes.append(f"""
+n{level} as (select {stratum}, place >> {height} node, sum(sz)::double al, sum(case when (place >> {height - 1}) % 2 = 0 then sz else 0 end)::double lf from lv group by 1, 2),
+e{level} as (select {stratum}, rep, node, n, lf / al p, cast('0x' || substr(sha256(rep || ':' || {stratum} || ':{height}:' || node), 1, 13) as bigint)::double / 4503599627370496.0::double u from d{level} join n{level} using ({stratum}, node)),
+j{level} as (select *, unnest(range(0, n)) j from e{level} where p < 1),
+f{level} as (select {stratum}, rep, node, u, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p) + (n - j) * ln(1 - p))) over (partition by {stratum}, rep, node order by j) cdf from j{level}),
+k{level} as (select {stratum}, rep, node, count(*) k from f{level} where cdf <= u group by all),
+b{level} as (select {stratum}, rep, node, n, case when p >= 1 then n else coalesce(k, 0) end k from e{level} left join k{level} using ({stratum}, rep, node)),
+d{level + 1} as (select {stratum}, rep, 2 * node node, k::bigint n from b{level} where k > 0 union all select {stratum}, rep, 2 * node + 1, (n - k)::bigint from b{level} where n > k)""")
+    return ", ".join(ctes) + f", mn as (select rep, lv.*, d.n from d{levels} d join lv on lv.{stratum} = d.{stratum} and lv.place = d.node)"
+
+
+_SUPPORTS = "sp as (select min(n) least_drawn, max(n) most_drawn from (select rep, sum(n)::bigint n from mn group by rep))"
+_CONTINUOUS = f"sc as (select doc_id, toxic y_true, {_h(1, 'doc_id')} * 0.6::double + toxic * {_h(2, 'doc_id')} * 0.4::double score, {_h(3, 'doc_id')} * 0.7::double + toxic * {_h(4, 'doc_id')} * 0.3::double score_b from labels)"
+
 ORACLES = {
+    "bootstrap_stratified_ci": f"with {_HITS}, {_multinomial('ph', 'true_class', 'hit', 1)}, {_SUPPORTS}, {_BALANCED.replace('from bs', 'from mn')} select * from (select {_INTERVAL} from ba), sp",
+    "bootstrap_stratified_cluster_ci": f"""with {_HITS}, gr as (select true_class, grp, sum(hit::int)::bigint hits, count(*)::bigint size from ph group by true_class, grp), {_multinomial('gr', 'true_class', 'hits, size', 5)}, {_SUPPORTS},
+ba as (select rep, avg(recall) v from (select rep, true_class, sum(n * hits)::double / sum(n * size) recall from mn group by rep, true_class) group by rep) select * from (select {_INTERVAL} from ba), sp""",
+    "auroc_ci": f"with {_CONTINUOUS}, {_draws('sc', 'doc_id', 'y_true, score')}, {_AREAS.format(by='rep', rows='bs')}, u as (select auroc v from ar) select {_INTERVAL} from u",
+    "paired_auroc_continuous": f"""with {_CONTINUOUS}, {_draws('sc', 'doc_id', 'y_true, score, score_b')}, ms as (select rep, 1 sign, y_true, score, n from bs union all select rep, -1, y_true, score_b, n from bs),
+{_AREAS.format(by='rep, sign', rows='ms')}, df as (select rep, round(sum(sign * auroc), 12) v from ar group by rep having count(*) = 2) {_DIFFERENCE}""",
     "detection_metrics": f"with {_S} {_detection('s1', 'lang')}",
     "group_summary_sets": f"with {_S} select lang, source, count(*) n, count(distinct y_true) n_classes, sum((pred = y_true)::int)::bigint n_correct, round(avg(case when y_true = 0 then pred::double end), 9) fpr, round(avg(case when y_true = 1 then 1.0::double - pred end), 9) miss_rate from s1 group by grouping sets ((), (lang), (source))",
     "auroc_auprc_ties": f"with {_S}, {_BY_LANG} select lang, case when max(pos) > 0 and max(neg) > 0 then round(sum(n * (tp - p / 2.0::double)) / max(pos * neg), 9) end auroc, case when max(pos) > 0 and max(neg) > 0 then round(sum(p * tp::double / (tp + fp)) / max(pos), 9) end auprc, max(pos) n_pos, max(neg) n_neg from sw group by lang",
