@@ -9,7 +9,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievekit.operators.metrics import class_weights
+from sievekit.operators.metrics import class_weights, detection, ranking
+from sievekit.operators.resampling import ranked
+from sievekit.operators.splitting import assign_splits
+from sievekit.sources.shared import stored
 
 
 def as_vectors(df: DataFrame, features: str) -> DataFrame:
@@ -42,6 +45,59 @@ def probe_importances(df: DataFrame, columns: list[str], label: str, trees: int
     return df.sparkSession.createDataFrame(list(zip(columns, map(float, model.featureImportances.toArray()))), "feature string, importance double")
 
 
+def permuted(df: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """For each column, all rows with its values dealt anew: `permuted` names the column.
+
+    A row takes the value of the row that has its rank when rows are ordered by
+    another hash of the key, so each copy is a permutation that every run repeats.
+    """
+    rows = df.select(key, *[c for c in df.columns if c != key])
+    by_key = ranked(rows.withColumn("__all", F.lit(1)).withColumn("__order", F.col(key).cast("string")), "__all", "__order").drop("__n")
+    out = None
+    for c in columns:
+        other = ranked(rows.select(F.lit(1).alias("__all"), F.concat_ws(":", F.lit(c), F.col(key).cast("string")).alias("__order"), F.col(c).alias("__dealt")), "__all", "__order").select("__i", "__dealt")
+        one = by_key.join(other, "__i").withColumn(c, F.col("__dealt")).select(*rows.columns, F.lit(c).alias("permuted"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def held_out_probe(df: DataFrame, columns: list[str], label: str, key: str, source: str, test: float = 0.2, trees: int = 300, seed: int = 42) -> DataFrame:
+    """(kind, name, n, value): how well a random forest tells the labels 0 and 1 apart by metadata alone, on rows that it hasn't seen.
+
+    kind metric: balanced accuracy and AUROC over n test rows; importance: the
+    share of each column in the forest's splits; permutation: the balanced
+    accuracy lost when the column's values are dealt anew among the test rows;
+    source: each source's test rows and the part of them that is called 1. A real
+    source with a high part is told apart by its form, not its content. Rows
+    with a null label or feature don't count.
+    """
+    rows = df.dropna(subset=[*columns, label]).select(key, source, F.col(label).cast("int").alias(label), *[F.col(c).cast("double").alias(c) for c in columns])
+    rows = stored(assign_splits(rows, key, label, test=test, val=0.0, seed=seed), "probe-rows")
+    assembler = VectorAssembler(inputCols=columns, outputCol="vector")
+    forest = RandomForestClassifier(featuresCol="vector", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=10, seed=seed)
+    model = forest.fit(weighted(assembler.transform(rows.where("split = 'train'")), label))
+    held = rows.where("split = 'test'").drop("split")
+    whole = held.withColumn("permuted", F.lit("")).unionByName(permuted(held, columns, key))
+    chance = vector_to_array("probability")[1]
+    scored = model.transform(assembler.transform(whole)).select(key, source, "permuted", F.col(label).alias("y_true"), chance.alias("score"), (chance >= 0.5).cast("int").alias("pred"))
+    scored = stored(scored, "probe-scores")
+    plain = scored.where("permuted = ''")
+    accuracy = detection(scored, by=["permuted"]).select("permuted", "n", "balanced_accuracy")
+    own = accuracy.where("permuted = ''")
+    made = {
+        "metric": own.select(F.lit("balanced_accuracy").alias("name"), "n", F.col("balanced_accuracy").alias("value")),
+        "auroc": ranking(plain).select(F.lit("auroc").alias("name"), (F.col("n_pos") + F.col("n_neg")).alias("n"), F.col("auroc").alias("value")),
+        "permutation": accuracy.where("permuted <> ''").crossJoin(F.broadcast(own.select(F.col("balanced_accuracy").alias("whole")))).select(F.col("permuted").alias("name"), "n", (F.col("whole") - F.col("balanced_accuracy")).alias("value")),  # one row
+        "source": plain.groupBy(F.col(source).cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("pred").cast("double")).alias("value")),
+        "importance": df.sparkSession.createDataFrame(list(zip(columns, [0] * len(columns), map(float, model.featureImportances.toArray()))), "name string, n long, value double"),
+    }
+    out = None
+    for kind, part in made.items():
+        one = part.select(F.lit("metric" if kind == "auroc" else kind).alias("kind"), "name", F.col("n").cast("long"), F.col("value").cast("double"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def fit_components(train: DataFrame, want: int) -> PipelineModel:
     """Scaler and PCA over `vector`; the rank is at most rows - 1 and the dimension."""
     first = train.select("vector").first()

@@ -54,7 +54,7 @@ def replicates(df: DataFrame, key: Column, cells: list[str], reps: int) -> DataF
     return sums.select(*cells, each).select("__e.rep", *cells, "__e.n").where((F.col("rep") < reps) & (F.col("n") > 0))
 
 
-def _ranked(df: DataFrame, stratum: str, order: str) -> DataFrame:
+def ranked(df: DataFrame, stratum: str, order: str) -> DataFrame:
     """Adds __i, from 0 inside each stratum, and its size __n; ranks are taken in 4096 ranges of a hash of the order key."""
     rows = df.withColumn("__h", F.sha2(F.col(order).cast("string"), 256)).withColumn("__b", F.substring("__h", 1, 3))
     sizes = rows.groupBy(F.col(stratum).alias("__s"), F.col("__b").alias("__sb")).agg(F.count(F.lit(1)).alias("__c"))
@@ -72,7 +72,7 @@ def stratified_bootstrap(df: DataFrame, stratum: str, order: str, reps: int) ->
     The result has reps times the rows of df; where sums over cells suffice,
     replicates() needs neither ranks nor joins.
     """
-    ranked = _ranked(df, stratum, order)
+    ranked = ranked(df, stratum, order)
     slots = ranked.select(stratum, F.col("__i").alias("__slot"), "__n").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     digits = F.substring(F.sha2(F.concat_ws(":", F.col("rep").cast("string"), F.col(stratum).cast("string"), F.col("__slot").cast("string")), 256), 1, 15)
     draws = slots.select(stratum, "rep", (F.conv(digits, 16, 10).cast("bigint") % F.col("__n")).alias("__i"))

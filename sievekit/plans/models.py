@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievekit.functions import kernels
-from sievekit.operators import heads, learning, splitting
+from sievekit.operators import heads, learning, margins, splitting
 from sievekit.plans.splits import _hex
 from sievekit.sources.tables import table
 
@@ -24,15 +24,25 @@ def centroid_head(spark: SparkSession, d: str) -> DataFrame:
 
 
 def linear_svm(spark: SparkSession, d: str) -> DataFrame:
-    rows = learning.as_vectors(_split(spark, d).withColumn("y_true", (F.col("label") >= 5).cast("int")), "embedding")
-    model = learning.fit_linear_svm(rows.where("split = 'train'"), "y_true")
-    return learning.margins(model, rows.where("split = 'test'")).select("vec_id", "y_true", "score", "pred")
+    """Margins of the test rows under the squared-hinge classifier of the training rows, with balanced costs."""
+    rows = _split(spark, d).withColumn("y_true", (F.col("label") >= 5).cast("int"))
+    model = margins.fit_squared_hinge(rows.where("split = 'train'"), "y_true", "embedding")
+    scored = rows.where("split = 'test'").select("vec_id", "y_true", model.margin("embedding").alias("score"))
+    return scored.withColumn("pred", (F.col("score") >= 0).cast("int"))
+
+
+def _metadata(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source", F.ln(F.greatest(F.length("text"), F.lit(1))).alias("log_size"), F.size(F.split("text", "\n")).cast("double").alias("lines"), F.regexp_count("text", F.lit("[0-9]")).cast("double").alias("digits"))
+    return docs.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
 
 
 def rf_probe(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.ln(F.greatest(F.length("text"), F.lit(1))).alias("log_size"), F.size(F.split("text", "\n")).cast("double").alias("lines"), F.regexp_count("text", F.lit("[0-9]")).cast("double").alias("digits"))
-    labels = table(spark, d, "labels").select("doc_id", "quality")
-    return learning.probe_importances(docs.join(labels, "doc_id"), ["log_size", "lines", "digits"], "quality")
+    return learning.probe_importances(_metadata(spark, d), ["log_size", "lines", "digits"], "quality")
+
+
+def metadata_probe(spark: SparkSession, d: str) -> DataFrame:
+    """What a forest over the form of documents says of rows that it hasn't seen."""
+    return learning.held_out_probe(_metadata(spark, d), ["log_size", "lines", "digits"], "quality", "doc_id", "source", trees=100)
 
 
 def pca_train_only(spark: SparkSession, d: str) -> DataFrame:
@@ -105,6 +115,7 @@ QUERIES = {
     "centroid_head": centroid_head,
     "linear_svm": linear_svm,
     "rf_probe": rf_probe,
+    "metadata_probe": metadata_probe,
     "pca_train_only": pca_train_only,
     "pca_two_channels": pca_two_channels,
     "mlp_head": mlp_head,

@@ -158,3 +158,26 @@ def test_kernel_values():
     flat = np.full((8, 8), 0.25)
     assert np.allclose(kernels.jpeg(flat, 90, -1, 1), flat, atol=2 / 255) and len(np.unique(kernels.jpeg(g, 1, -1, 1).round(9))) < 64
     assert np.allclose(kernels.residual(flat, 8), 0) and np.allclose(kernels.tile_energy(np.ones((16, 16))), 0)
+
+
+def test_permuted_columns_hold_the_same_values(spark):
+    rows = spark.createDataFrame([(i, float(i), float(-i)) for i in range(300)], "k long, a double, b double")
+    got = learning.permuted(rows, ["a", "b"], "k").toPandas()
+    for c, other in (("a", "b"), ("b", "a")):
+        one = got[got["permuted"] == c].sort_values("k")
+        assert sorted(one[c]) == sorted(float(i if c == "a" else -i) for i in range(300))
+        assert (one[other] == [-float(i) if c == "a" else float(i) for i in range(300)]).all()
+        assert (one[c].abs() == one["k"]).mean() < 0.1
+
+
+def test_held_out_probe_blames_the_telling_column_and_source(spark):
+    draw = random.Random(8)
+    rows = [(i, "big" if i % 3 == 0 else f"s{i % 2}", float(i % 3 == 0) + draw.random() / 4, draw.random(), int(i % 3 == 0)) for i in range(600)]
+    rows += [(1000, "big", None, 0.5, 1), (1001, "big", 0.5, 0.5, None)]
+    got = learning.held_out_probe(spark.createDataFrame(rows, "k long, source string, a double, b double, y int"), ["a", "b"], "y", "k", "source", trees=20).collect()
+    value = {(r.kind, r.name): (r.n, r.value) for r in got}
+    assert len(got) == len(value) == 2 + 2 + 2 + 3
+    assert value["metric", "balanced_accuracy"] == (120, 1.0) and value["metric", "auroc"] == (120, 1.0)
+    assert value["permutation", "a"][1] > 0.3 > 0.02 > abs(value["permutation", "b"][1])
+    assert value["importance", "a"][1] > 0.9
+    assert value["source", "big"] == (40, 1.0) and value["source", "s0"][1] == value["source", "s1"][1] == 0.0
