@@ -31,6 +31,20 @@ from .common import in_task, map_batches, read, to_tasks
 #: The pre-tokenizing pattern of byte-level vocabularies: contractions, letters, digits, other signs, white space.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+# Code points that are letters or numbers of newer versions of Unicode than the tokenizers library's, which takes
+# them for signs.
+NEWER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
+    (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF),
+    (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1),
+    (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF),
+    (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168),
+    (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2),
+    (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD),
+    (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+_NEWER = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER) + "]")
+
 #: Words remembered with their ids, in each task.
 REMEMBERED = 200_000
 NO_RANK = 1 << 30
@@ -132,7 +146,13 @@ class Encoder:
 
     def _plain(self, text: str, ids: list[int]) -> None:
         known, vocabulary = self.known, self.vocabulary
-        for word in self.words.findall(text):
+        if _NEWER.search(text):
+            # cut as if there stood signs
+            cuts = (m.span() for m in self.words.finditer(_NEWER.sub("!", text)))
+            words = (text[a:b] for a, b in cuts)
+        else:
+            words = self.words.findall(text)
+        for word in words:
             got = known.get(word)
             if got is None:
                 got = vocabulary.encode_word(word.encode("utf-8", "surrogatepass"))

@@ -37,6 +37,17 @@ def test_ids_equal_the_library(spark, library):
         assert sums[i].decoded_sha256 == hashlib.sha256(back.encode()).hexdigest()
 
 
+def test_every_code_point_is_cut_as_the_library_cuts_it(library):
+    """Beside a letter, a number, a sign and white space, and before a contraction."""
+    encoder = bpe.Encoder(bpe.Vocabulary.load(PATH))
+    points = [chr(p) for p in range(0x110000) if not 0xD800 <= p <= 0xDFFF]
+    for at in range(0, len(points), 4096):
+        text = "".join(f"a{c}1{c}!{c} {c}{c}'t" for c in points[at : at + 4096])
+        if encoder.encode(text) != library.encode(text, add_special_tokens=False).ids:
+            bad = [hex(ord(c)) for c in points[at : at + 4096] if encoder.encode(t := f"a{c}1{c}!{c} {c}{c}'t") != library.encode(t, add_special_tokens=False).ids]
+            raise AssertionError(bad[:5])
+
+
 def test_heap_equals_scan(library):
     known = bpe.Vocabulary.load(PATH)
     draw = random.Random(1)
