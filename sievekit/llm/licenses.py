@@ -2,18 +2,21 @@
 
 A text is lower-cased (A-Z only) and cut into words of ASCII letters and digits
 and any characters beyond ASCII; joined by single blanks, these words are
-searched by one Aho-Corasick automaton for notice phrases. Where the automaton
-meets a licence-identifier tag, the raw text after each tag is read as an
+searched by one Aho-Corasick automaton for notice phrases and licence-identifier
+tags. Behind each tag that the automaton meets, the raw text is read as an
 expression: a shunting-yard parser turns and/or/with into postfix order, and
 the postfix form is evaluated to the identifiers named, and to whether a choice
-exists that needs permissive licences only. A tag is followed by a colon;
-identifiers outside the list below are no labels and are reported apart.
+exists that needs permissive licences only. A tag is followed by a colon, a slash
+between identifiers means `or`, and a full stop or hyphen behind an identifier
+isn't part of it. Identifiers outside the lists below are no labels and are
+reported apart.
 
 Edge cases: a null text counts as empty (no words, null first and last word,
 empty labels, score 0); an expression with unbalanced or misplaced parts gives
 the identifiers read up to there and no verdict; repeated rows keep their own
-rows; an empty table gives an empty result; scan() replaces input columns that
-have a name of its outputs.
+rows; a label that several phrases support has the largest of their weights;
+texts of any length are scanned whole; an empty table gives an empty result;
+scan() replaces input columns that have a name of its outputs.
 """
 
 from __future__ import annotations
@@ -101,27 +104,76 @@ BASE_WEIGHTS = {"cc-by": 0.8, "gpl": 0.9, "reserved": 0.6}
 TAG = "spdx license identifier"
 TAG_WEIGHT = 0.99
 
-#: Public licence identifiers, in small letters, whose terms are permissive, and others.
-PERMISSIVE = frozenset(
-    """0bsd afl-3.0 apache-1.1 apache-2.0 artistic-2.0 blueoak-1.0.0 bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause
-    bsd-3-clause-clear bsd-4-clause bsl-1.0 cc-by-3.0 cc-by-4.0 cc-pddc cc0-1.0 curl ecl-2.0 ftl hpnd icu ijg isc libpng
-    libtiff mit mit-0 mit-modern-variant ms-pl mulanpsl-2.0 ncsa ntp openssl php-3.01 pddl-1.0 postgresql psf-2.0 python-2.0
-    ruby sgi-b-2.0 tcl unicode-3.0 unicode-dfs-2016 unlicense upl-1.0 vim w3c wtfpl x11 xnet zlib zlib-acknowledgement zpl-2.1""".split()
-)
-RESTRICTED = frozenset(
-    """agpl-1.0-only agpl-3.0 agpl-3.0-only agpl-3.0-or-later apsl-2.0 artistic-1.0 busl-1.1 cc-by-nc-4.0 cc-by-nc-nd-4.0
-    cc-by-nc-sa-4.0 cc-by-nd-4.0 cc-by-sa-3.0 cc-by-sa-4.0 cddl-1.0 cddl-1.1 cecill-2.1 cpal-1.0 cpl-1.0 elastic-2.0 epl-1.0
-    epl-2.0 eupl-1.1 eupl-1.2 gfdl-1.3-only gfdl-1.3-or-later gpl-1.0-only gpl-1.0-or-later gpl-2.0 gpl-2.0-only
-    gpl-2.0-or-later gpl-3.0 gpl-3.0-only gpl-3.0-or-later ipl-1.0 lgpl-2.0-only lgpl-2.0-or-later lgpl-2.1 lgpl-2.1-only
-    lgpl-2.1-or-later lgpl-3.0 lgpl-3.0-only lgpl-3.0-or-later lppl-1.3c mpl-1.1 mpl-2.0 ms-rl odbl-1.0 ofl-1.1 osl-3.0 qpl-1.0
-    rpl-1.5 sspl-1.0""".split()
-)
+# Public licence identifiers, in small letters. Families are name -> (versions, endings), where each version
+# occurs with each ending; the bare name of a version is the ending "".
+PERMISSIVE_FAMILIES = {
+    "afl": ("1.1 1.2 2.0 2.1 3.0", [""]),
+    "apache": ("1.0 1.1 2.0", [""]),
+    "cc-by": ("1.0 2.0 2.5 3.0 4.0", ["", "-at", "-au", "-de", "-igo", "-nl", "-us"]),
+    "ecl": ("1.0 2.0", [""]),
+    "efl": ("1.0 2.0", [""]),
+    "mulanpsl": ("1.0 2.0", [""]),
+    "oldap": ("1.1 1.2 1.3 1.4 2.0 2.0.1 2.1 2.2 2.2.1 2.2.2 2.3 2.4 2.5 2.6 2.7 2.8", [""]),
+    "php": ("3.0 3.01", [""]),
+    "python": ("2.0 2.0.1", [""]),
+    "sgi-b": ("1.0 1.1 2.0", [""]),
+    "zpl": ("1.1 2.0 2.1", [""]),
+}
+RESTRICTED_FAMILIES = {
+    "agpl": ("1.0 3.0", ["", "-only", "-or-later"]),
+    "apsl": ("1.0 1.1 1.2 2.0", [""]),
+    "artistic": ("1.0", ["", "-cl8", "-perl"]),
+    "cc-by-nc": ("1.0 2.0 2.5 3.0 4.0", ["", "-de"]),
+    "cc-by-nc-nd": ("1.0 2.0 2.5 3.0 4.0", ["", "-de", "-igo"]),
+    "cc-by-nc-sa": ("1.0 2.0 2.5 3.0 4.0", ["", "-de", "-fr", "-igo", "-uk"]),
+    "cc-by-nd": ("1.0 2.0 2.5 3.0 4.0", ["", "-de"]),
+    "cc-by-sa": ("1.0 2.0 2.1 2.5 3.0 4.0", ["", "-at", "-de", "-igo", "-jp", "-uk"]),
+    "cddl": ("1.0 1.1", [""]),
+    "cecill": ("1.0 1.1 2.0 2.1", [""]),
+    "epl": ("1.0 2.0", [""]),
+    "eupl": ("1.0 1.1 1.2", [""]),
+    "gfdl": ("1.1 1.2 1.3", ["", "-only", "-or-later", "-invariants-only", "-invariants-or-later", "-no-invariants-only", "-no-invariants-or-later"]),
+    "gpl": ("1.0 2.0 3.0", ["", "-only", "-or-later"]),
+    "lgpl": ("2.0 2.1 3.0", ["", "-only", "-or-later"]),
+    "lppl": ("1.0 1.1 1.2 1.3a 1.3c", [""]),
+    "mpl": ("1.0 1.1 2.0", ["", "-no-copyleft-exception"]),
+    "npl": ("1.0 1.1", [""]),
+    "ofl": ("1.0 1.1", ["", "-rfn", "-no-rfn"]),
+    "osl": ("1.0 1.1 2.0 2.1 3.0", [""]),
+    "rpl": ("1.1 1.5", [""]),
+    "sissl": ("1.2", [""]),
+    "ypl": ("1.0 1.1", [""]),
+}
+PERMISSIVE_SINGLE = """0bsd aal adobe-2006 adsl aml amdplpa antlr-pd apafml artistic-2.0 bahyph barr beerware blueoak-1.0.0 borceux bsd-1-clause bsd-2-clause
+    bsd-2-clause-freebsd bsd-2-clause-netbsd bsd-2-clause-patent bsd-2-clause-views bsd-3-clause bsd-3-clause-attribution bsd-3-clause-clear bsd-3-clause-lbnl
+    bsd-3-clause-modification bsd-3-clause-open-mpi bsd-4-clause bsd-4-clause-shortened bsd-4-clause-uc bsd-source-code bsl-1.0 bzip2-1.0.5 bzip2-1.0.6 cc-pddc
+    cc0-1.0 cnri-jython cnri-python crossword crystalstacker cube curl diffmark doc dotseqn dsdp dvipdfm entessa eudatagrid fair fsful fsfullr ftl
+    giftware glide hpnd hpnd-sell-variant icu ijg imagemagick imlib2 info-zip intel isc jasper-2.0 json latex2e leptonica libpng libpng-2.0 libtiff linux-openib
+    makeindex miros mit mit-0 mit-advertising mit-cmu mit-enna mit-feh mit-modern-variant mit-open-group mitnfa ms-pl mtll mup naumen ncsa net-snmp netcdf newsletr nist-pd
+    nlod-1.0 nlpl nrl ntp odc-by-1.0 ogl-uk-1.0 ogl-uk-2.0 ogl-uk-3.0 oml openssl pddl-1.0 plexus postgresql psf-2.0 psfrag psutils qhull rdisc rsa-md ruby saxpath
+    sendmail smlnj snia spencer-86 spencer-94 spencer-99 swl tcl tcp-wrappers tu-berlin-1.0 unicode-3.0 unicode-dfs-2015 unicode-dfs-2016 unlicense upl-1.0 vim
+    vsl-1.0 w3c w3c-19980720 w3c-20150513 wsuipa wtfpl x11 xerox xfree86-1.1 xinetd xnet xpp zed zend-2.0 zlib zlib-acknowledgement"""
+RESTRICTED_SINGLE = """bitstream-vera busl-1.1 catosl-1.1 cc-by-nc-sa-2.0-fr cecill-b cecill-c copyleft-next-0.3.0 copyleft-next-0.3.1 cpal-1.0 cpl-1.0 cpol-1.02 cua-opl-1.0
+    d-fsl-1.0 elastic-2.0 erlpl-1.1 etalab-2.0 frameworx-1.0 gl2ps hippocratic-2.1 ibm-pibs intel-acpi interbase-1.0 ipa ipl-1.0 jpnic lal-1.2 lal-1.3 lgpllr liliq-p-1.1 liliq-r-1.1
+    liliq-rplus-1.1 motosoto ms-rl multics nasa-1.3 nbpl-1.0 ngpl nokia nosl noweb nposl-3.0 ocsl-1.0 oclc-2.0 odbl-1.0 ogtsl oset-pl-2.1 parity-6.0.0 parity-7.0.0
+    polyform-noncommercial-1.0.0 polyform-small-business-1.0.0 qpl-1.0 rhecos-1.1 rpsl-1.0 rscpl scea simpl-2.0 sissl sleepycat spl-1.0 sspl-1.0 sugarcrm-1.1.3 tapr-ohl-1.0
+    tmate torque-1.1 vostrom watcom-1.0 wxwindows xskat zimbra-1.3 zimbra-1.4"""
+
+
+def _listed(families: dict[str, tuple[str, list[str]]], single: str) -> frozenset[str]:
+    return frozenset(single.split()) | {f"{name}-{version}{ending}" for name, (versions, endings) in families.items() for version in versions.split() for ending in endings}
+
+
+PERMISSIVE = _listed(PERMISSIVE_FAMILIES, PERMISSIVE_SINGLE)
+RESTRICTED = _listed(RESTRICTED_FAMILIES, RESTRICTED_SINGLE)
 
 _WORD = bytes(
     b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)
 )
-_RAW_TAG = re.compile(r"spdx[^a-z0-9]license[^a-z0-9]identifier[ \t]*:[ \t]*([^\n\r]*)", re.IGNORECASE | re.ASCII)
-_EXPRESSION = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+_-]*")
+#: What stands behind a tag: a colon, and the expression on the same line.
+_BEHIND_TAG = re.compile(rb"[ \t]*:[ \t]*([^\n\r]*)")
+#: A slash between two identifiers means `or`.
+_EXPRESSION = re.compile(r"\(|\)|(?<=[A-Za-z0-9.+)])/(?=[A-Za-z0-9(])|[A-Za-z0-9][A-Za-z0-9.+_-]*")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 
@@ -135,7 +187,8 @@ def postfix(expression: str) -> tuple[list[str], bool]:
     waiting: list[str] = []
     wants_operand, good = True, True
     for token in _EXPRESSION.findall(expression):
-        low = token.lower()
+        # a full stop or hyphen at the end belongs to the sentence
+        low = "or" if token == "/" else token.lower().rstrip(".-_")
         if token == "(":
             if not wants_operand:
                 break
@@ -205,12 +258,29 @@ def automaton() -> ahocorasick.Automaton:
     return found
 
 
+def _expressions(text: str | None, line: str, tags: list[int]) -> Iterator[str]:
+    """What the text has behind the tags that the automaton met at these ends in the line of words."""
+    if not tags:
+        return
+    raw = text.encode("utf-8", "surrogatepass")
+    words = re.finditer(rb"[^ ]+", raw.translate(_WORD))
+    counted = passed = at = 0
+    for end in tags:
+        counted += line.count(" ", at, end)  # as many words end before the blank at `end`
+        at = end
+        while passed < counted:
+            word = next(words)
+            passed += 1
+        if behind := _BEHIND_TAG.match(raw, word.end()):
+            yield behind[1].decode("utf-8", "surrogatepass")
+
+
 def scan_text(text: str | None, phrases: ahocorasick.Automaton) -> tuple:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score, expressions, permissive, unknown) of one text."""
     words = text.encode("utf-8", "surrogatepass").translate(_WORD).split() if text else []
     line = (b" " + b" ".join(words) + b" ").decode("latin-1")  # one character a byte: phrases are ASCII
     n_base, first, last, base, weight = 0, None, None, set(), {}
-    tagged = False
+    tags: list[int] = []
     at, index = 0, 0  # blanks counted up to `at`
     for end, phrase in phrases.iter(line):
         if phrase in BASE_PHRASES:
@@ -222,24 +292,23 @@ def scan_text(text: str | None, phrases: ahocorasick.Automaton) -> tuple:
             last = index if last is None else max(last, index)
             base.add(BASE_PHRASES[phrase])
         elif phrase == TAG:
-            tagged = True
+            tags.append(end)
         else:
             label, w = NOTICE_PHRASES[phrase]
             weight[label] = max(weight.get(label, 0.0), w)
     for label in base:
         weight[label] = max(weight.get(label, 0.0), BASE_WEIGHTS[label])
     expressions, verdicts, unknown = [], [], set()
-    if tagged:
-        for match in _RAW_TAG.finditer(text):
-            named, verdict = evaluate(match[1])
-            if named:
-                expressions.append(" ".join(postfix(match[1])[0]))
-                verdicts.append(verdict)
-                for label in named:
-                    if permissive(label) is None:
-                        unknown.add(label)
-                    else:
-                        weight[label] = TAG_WEIGHT
+    for expression in _expressions(text, line, tags):
+        named, verdict = evaluate(expression)
+        if named:
+            expressions.append(" ".join(postfix(expression)[0]))
+            verdicts.append(verdict)
+            for label in named:
+                if permissive(label) is None:
+                    unknown.add(label)
+                else:
+                    weight[label] = TAG_WEIGHT
     doubt = 1.0
     for label in sorted(weight):
         doubt *= 1.0 - weight[label]

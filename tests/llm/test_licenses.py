@@ -88,3 +88,28 @@ def test_labels_and_score_equal_brute_force(spark):
         for weight in found.values():
             doubt *= 1 - weight
         assert r.labels == ",".join(sorted(found)) and abs(r.score - (1 - doubt)) < 1e-12
+
+
+@pytest.mark.parametrize(
+    "text,labels,allowed",
+    [
+        ("SPDX-License-Identifier: MIT.", "mit", True),
+        ("see (SPDX-License-Identifier: Apache-2.0), and more", "apache-2.0", True),
+        ("/* SPDX-License-Identifier: MIT */", "mit", True),
+        ("SPDX-License-Identifier: MIT/Apache-2.0", "apache-2.0,mit", True),
+        ("SPDX-License-Identifier: GPL-2.0-only/LGPL-2.0", "gpl-2.0-only,lgpl-2.0", False),
+        ("SPDX-License-Identifier: EUPL-1.0 AND AFL-2.1", "afl-2.1,eupl-1.0", False),
+        ("SPDX-License-Identifier: CC-BY-2.5-", "cc-by,cc-by-2.5", True),
+        ("é\nspdx-license-identifier : ISC\n漢 SPDX-License-Identifier: Zlib\r\n", "isc,zlib", True),
+        ("SPDX License Identifier MIT", "", None),
+        ("the SPDX-License-Identifier: tag", "", None),
+    ],
+)
+def test_tags_are_read_where_the_automaton_meets_them(text, labels, allowed):
+    found = licenses.scan_text(text, licenses.automaton())
+    assert (found[5], found[8]) == (labels, allowed)
+
+
+def test_identifier_lists_are_apart():
+    assert not licenses.PERMISSIVE & licenses.RESTRICTED
+    assert {"mit", "cc-by-2.5", "afl-2.1"} <= licenses.PERMISSIVE and {"lgpl-2.0", "eupl-1.0", "gfdl-1.3-no-invariants-only"} <= licenses.RESTRICTED
