@@ -34,11 +34,12 @@ def nearest_pairs(pairs: DataFrame, most: int = 200) -> DataFrame:
 
 
 def coupling(df: DataFrame, group: str, role: str, real: str, fake: str, split: str = "split") -> DataFrame:
-    """(group, n, coupling): how the real and fake members of a group lie across the splits.
+    """(group, n, coupling, bridge): how the real and fake members of a group lie across the splits.
 
     train_fit_leak: a real member in train and a fake one outside it, or the
     other way round; straddling: both kinds and several splits, without such a
-    leak; same_side: both kinds in one split; single: one kind only.
+    leak; same_side: both kinds in one split; single: one kind only. bridge:
+    both kinds occur, in different sets of splits.
     """
     is_real, in_train = F.col(role) == real, F.col(split) == "train"
     is_fake = F.col(role) == fake
@@ -52,10 +53,13 @@ def coupling(df: DataFrame, group: str, role: str, real: str, fake: str, split:
         any_(is_real & ~in_train).alias("ro"),
         any_(is_fake & in_train).alias("ft"),
         any_(is_fake & ~in_train).alias("fo"),
+        # at most as many entries as splits
+        F.sort_array(F.collect_set(F.when(is_real, F.col(split)))).alias("rs"),
+        F.sort_array(F.collect_set(F.when(is_fake, F.col(split)))).alias("fs"),
     )
     leak = (F.col("rt") & F.col("fo")) | (F.col("ft") & F.col("ro"))
     kind = F.when(~(F.col("r") & F.col("f")), "single").when(leak, "train_fit_leak").when(F.col("k") > 1, "straddling").otherwise("same_side")
-    return rows.select(group, "n", kind.alias("coupling"))
+    return rows.select(group, "n", kind.alias("coupling"), (F.col("r") & F.col("f") & (F.col("rs") != F.col("fs"))).alias("bridge"))
 
 
 def reconcile(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sievekit.functions.hashing import hash_fraction
 from sievekit.operators import auditing, learning, projecting, splitting
+from sievekit.plans import scoring
 from sievekit.sources import readers
 from sievekit.sources.shared import new_path
 from sievekit.sources.tables import table
@@ -189,6 +190,22 @@ def model_reload(spark: SparkSession, d: str) -> DataFrame:
     return before.join(after, "vec_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("before") - F.col("score")) > 1e-12).alias("n_differ"))
 
 
+def table_signature(spark: SparkSession, d: str) -> DataFrame:
+    """Order-free digests of two tables, the key of what is cached for them."""
+    docs = readers.table_digest(_documents(spark, d)).select(F.lit("documents").alias("name"), "*")
+    return docs.unionByName(readers.table_digest(table(spark, d, "labels").select("doc_id", "quality", "toxic")).select(F.lit("labels").alias("name"), "*"))
+
+
+def metrics_files(spark: SparkSession, d: str) -> DataFrame:
+    """The figures of one metrics file for each language, written by Spark and read back as documents of any kind."""
+    rows = scoring.detection_metrics(spark, d).select("lang", F.to_json(F.struct(F.struct("n", "accuracy", "balanced_accuracy", "macro_f1").alias("overall"))).alias("value"))
+    path = new_path(spark, "metrics")
+    # a file for each language
+    rows.repartition("lang").write.option("maxRecordsPerFile", 1).partitionBy("lang").option("compression", "none").text(path)
+    renamed = readers.metrics_report(spark, path, "*.txt")
+    return renamed.select(F.regexp_extract("file", "lang=([^/]*)/", 1).alias("lang"), "kind", "path", F.col("value"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -216,6 +233,8 @@ QUERIES = {
         frame_unions,
         file_round_trip,
         model_reload,
+        table_signature,
+        metrics_files,
     )
 }
 
@@ -225,7 +244,17 @@ k as (select doc_id, source, lang, substr(sha256('42:' || doc_id), 1, 16) k from
 r as (select *, row_number() over (partition by lang order by k, doc_id) r, count(*) over (partition by lang) n from k),
 w as (select doc_id, source, case when r <= round_even(n * 0.2::double, 0) then 'test' when r <= round_even(n * 0.2::double, 0) + round_even(n * 0.1::double, 0) then 'val' else 'train' end split from r)"""
 
+
+def _digest_sql(name: str, rows: str, columns: list[str]) -> str:
+    text = " || ".join(f"coalesce(length({c}::varchar) || ':' || {c}::varchar, '-')" for c in columns)
+    number = lambda at: f"(coalesce(sum(cast('0x' || substr(h, {at}, 16) as ubigint)::hugeint), 0) % 18446744073709551616::hugeint)::varchar"
+    return f"select '{name}' as name, count(*) n, {number(1)} high, {number(17)} low from (select sha256({text}) h from {rows})"
+
+
 ORACLES = {
+    "table_signature": f"{_digest_sql('documents', 'documents', ['doc_id', 'lang', 'source', 'n_chars'])} union all {_digest_sql('labels', 'labels', ['doc_id', 'quality', 'toxic'])}",
+    "metrics_files": f"""with m as ({scoring.ORACLES["detection_metrics"]}), u as (select lang, 'overall.accuracy' path, accuracy as value from m union all select lang, 'overall.balanced_accuracy', balanced_accuracy from m union all select lang, 'overall.macro_f1', macro_f1 from m)
+select lang, 'detection' kind, path, value from u""",
     "prefix_filter": "select page_id, url from pages where starts_with(url, 'https://')",
     "contains_filter": "select doc_id, source from documents where contains(lower(source), 'rc1')",
     "mask_algebra": "select doc_id, lang from documents where (lang in ('de', 'fr') and not coalesce(n_chars > 1000, false)) or (lang not in ('de', 'fr') and coalesce(n_chars > 1000, false) and source <> 'src3')",

@@ -156,7 +156,8 @@ g as (select distinct grp from t where test and explicit)
 select vec_id, label, t.grp, case when test then 'test' when explicit and g.grp is not null then 'dropped' else 'train' end assigned from t left join g on g.grp = t.grp""",
     "exact_dup_cross_split": f"with {_DOCS}, {_split('docs', 'doc_id', 'lang', False)} select sha as content, count(*) n, count(distinct split) n_splits from s group by sha having count(distinct split) > 1",
     "coupling_classes": f"""{_TURN_SPLIT}, g as (select conv_id, count(*) n, bool_or(role = 'user') r, bool_or(role = 'assistant') f, count(distinct split) k,
-  bool_or(role = 'user' and split = 'train') rt, bool_or(role = 'user' and split <> 'train') ro, bool_or(role = 'assistant' and split = 'train') ft, bool_or(role = 'assistant' and split <> 'train') fo from s group by conv_id)
-select conv_id, n, case when not (r and f) then 'single' when (rt and fo) or (ft and ro) then 'train_fit_leak' when k > 1 then 'straddling' else 'same_side' end coupling from g""",
+  bool_or(role = 'user' and split = 'train') rt, bool_or(role = 'user' and split <> 'train') ro, bool_or(role = 'assistant' and split = 'train') ft, bool_or(role = 'assistant' and split <> 'train') fo,
+  string_agg(distinct split, ',' order by split) filter (where role = 'user') rs, string_agg(distinct split, ',' order by split) filter (where role = 'assistant') fs from s group by conv_id)
+select conv_id, n, r and f and coalesce(rs <> fs, false) bridge, case when not (r and f) then 'single' when (rt and fo) or (ft and ro) then 'train_fit_leak' when k > 1 then 'straddling' else 'same_side' end coupling from g""",
     "population_flags": "select label in (0, 1, 2, 3, 4, 5) is_train, label in (8, 9) is_out_of_set, count(*) n from embeddings group by 1, 2",
 }

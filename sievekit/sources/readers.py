@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
+import operator
 import os
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StructType
 
 MANIFEST = "filename string, full_path string, label string, generator string, category string, source_dataset string, width int, height int"
 DETECTOR = f"{MANIFEST}, defake_predict int, prob_real double, prob_fake double, blip_caption string"
@@ -96,6 +99,27 @@ def signature(parts: dict[str, bytes], parameters: dict) -> str:
     return h.hexdigest()
 
 
+def table_digest(df: DataFrame) -> DataFrame:
+    """(n, high, low): the number of rows and two 64-bit sums of row digests, which don't depend on the order of rows or files.
+
+    A row's digest is the sha256 of its values, each as text with its length, or
+    a mark for null; nested values count as JSON. Tasks add digests up, so a
+    table of any size gives one row. Repeated rows count as often as they occur.
+    """
+    text = lambda f: F.to_json(f.name) if isinstance(f.dataType, (ArrayType, MapType, StructType)) else F.base64(f.name) if isinstance(f.dataType, BinaryType) else F.col(f"`{f.name}`").cast("string")
+    parts = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in map(text, df.schema.fields)]
+    digest = F.sha2(F.concat(*parts) if parts else F.lit(""), 256)
+    number = lambda at: F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(20,0)")
+    whole = lambda at: F.coalesce(F.sum(number(at)), F.lit(0)).cast("decimal(38,0)") % F.lit(str(1 << 64)).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("n"), whole(1).cast("decimal(20,0)").cast("string").alias("high"), whole(17).cast("decimal(20,0)").cast("string").alias("low"))
+
+
+def table_signature(df: DataFrame, parameters: dict) -> str:
+    """The key of a feature cache: sha256 over the columns, the table's digest and the parameters. It changes with any cell, and not with the order of files."""
+    row = table_digest(df).first()
+    return signature({"columns": json.dumps(df.dtypes).encode(), "rows": f"{row.n}:{row.high}:{row.low}".encode()}, parameters)
+
+
 def cached_features(spark: SparkSession, folder: str, key: str, make) -> DataFrame:
     """Features under folder/key; made and written if that folder holds none."""
     path = f"{folder}/{key}"
@@ -107,10 +131,69 @@ def cached_features(spark: SparkSession, folder: str, key: str, make) -> DataFra
 
 def metrics_rows(spark: SparkSession, folder: str) -> DataFrame:
     """(file, document) of every metrics JSON under a folder; files that don't parse are left out."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(folder)
+    rows = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
     return rows.select(F.col("_metadata.file_path").alias("file"), F.expr("try_parse_json(value)").alias("json"), F.col("value").alias("document")).where("json is not null").drop("json")
 
 
+#: The kinds of metrics files, by file name and by a key that only they have.
+METRICS_FILES = {
+    "detection_metrics.json": "detection",
+    "metrics.json": "svm",
+    "attribution_metrics.json": "attribution",
+    "finetune_metrics.json": "attribution",
+    "logo_summary.json": "leave_one_out",
+    "out_of_set_summary.json": "out_of_set",
+    "cascade_metrics.json": "cascade",
+}
+#: For each kind, the paths of its figures, in which * stands for any key.
+METRICS_PATHS = {
+    "detection": ["overall.accuracy", "overall.balanced_accuracy", "overall.macro_f1", "overall.auroc"],
+    "svm": ["test.balanced_accuracy", "test.macro_f1", "test.auroc"],
+    "attribution": [f"{part}.{m}" for part in ("in_set", "out_of_set", "all_fakes", "test") for m in ("top1_accuracy", "macro_f1", "balanced_accuracy")],
+    "leave_one_out": ["*.n_held_out", "*.mean_confidence", "*.mean_entropy", "*.forced_label_distribution.*"],
+    "out_of_set": [f"*.{part}.{m}" for part in ("in_set", "out_of_set") for m in ("mean_confidence", "n")],
+    "cascade": ["known_fake.n", "known_fake.n_detected", "known_fake.conditional_attribution.top1_accuracy", "known_fake.end_to_end_attribution.top1_accuracy"],
+}
+
+
+def metrics_report(spark: SparkSession, folder: str, names: str = "*.json") -> DataFrame:
+    """(file, kind, path, value): the figures of every metrics JSON under a folder, a row each, whatever their kind.
+
+    A file's kind is that of its name, or else what its keys show; other
+    documents have no rows. Files that don't parse have one row of the kind
+    `unparsable`, without a path.
+    """
+    rows = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=names)
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.expr("try_parse_json(value)").alias("v"))
+    bad = rows.where("v is null").select("file", F.lit("unparsable").alias("kind"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("double").alias("value"))
+    good = rows.where("v is not null").select("file", "v", _metrics_kind(F.substring_index("file", "/", -1)).alias("kind")).where("kind is not null")
+    # figures lie at most three keys deep
+    at = good.select("file", "kind", F.array().cast("array<string>").alias("path"), "v")
+    found = None
+    for _ in range(3):
+        inner = spark.tvf.variant_explode(F.col("v").outer())
+        at = at.where("schema_of_variant(v) like 'OBJECT%'").lateralJoin(inner).select("file", "kind", F.concat("path", F.array("key")).alias("path"), F.col("value").alias("v"))
+        leaves = at.select("file", "kind", "path", F.expr("try_variant_get(v, '$', 'double')").alias("value")).where("value is not null")
+        found = leaves if found is None else found.unionByName(leaves)
+    wanted = F.lit(False)
+    for kind, paths in METRICS_PATHS.items():
+        for keys in (p.split(".") for p in paths):
+            same = [F.get("path", F.lit(i)) == k for i, k in enumerate(keys) if k != "*"]
+            wanted = wanted | functools.reduce(operator.and_, same, (F.col("kind") == kind) & (F.size("path") == len(keys)))
+    return found.where(wanted).withColumn("path", F.array_join("path", ".")).unionByName(bad)
+
+
+def _metrics_kind(name: Column) -> Column:
+    kind = F.when(F.lit(False), "")
+    for file, k in METRICS_FILES.items():
+        kind = kind.when(name == file, k)
+    has = lambda path: F.expr(f"is_variant_null(try_variant_get(v, '{path}', 'variant')) = false")
+    shown = F.when(has("$.overall"), "detection").when(has("$.known_fake"), "cascade")
+    for part in ("in_set", "out_of_set", "all_fakes", "test"):
+        shown = shown.when(has(f"$.{part}.top1_accuracy"), "attribution")
+    return F.coalesce(kind, shown.when(has("$.test"), "svm"))
+
+
 def metrics_json(row: DataFrame) -> str:
     """One row of metrics as JSON."""
     return row.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).first()[0]

@@ -164,6 +164,12 @@ def test_coupling(spark):
     assert got == {"1": "train_fit_leak", "2": "straddling", "3": "same_side", "4": "single"}
 
 
+def test_bridges_are_groups_whose_kinds_lie_in_different_sets_of_splits(spark):
+    rows = [("1", "real", "train"), ("1", "fake", "test"), ("2", "real", "val"), ("2", "real", "test"), ("2", "fake", "test"), ("2", "fake", "val"), ("3", "real", "val"), ("3", "fake", "val"), ("4", "real", "test"), ("4", "real", "val")]
+    got = {r.g: (r.coupling, r.bridge) for r in auditing.coupling(frame(spark, rows, "g string, label string, split string"), "g", "label", "real", "fake").collect()}
+    assert got == {"1": ("train_fit_leak", True), "2": ("straddling", False), "3": ("same_side", False), "4": ("single", False)}
+
+
 def test_lineage_and_near_misses(spark):
     rows = frame(spark, [("v1", "o1"), ("v2", "o2"), ("v3", "o3"), ("o9", None)], "path string, src string")
     side = frame(spark, [("o1", "Val:1"), ("o2", "Val:1"), ("o9", "Val:9")], "path string, grp string")

@@ -110,3 +110,58 @@ def test_config_files(tmp_path):
     assert readers.read_config(str(tmp_path / "c.yaml"), {"ROOT": "/data"}) == {"root": "/data/x", "sizes": [1, 2]}
     with pytest.raises(KeyError):
         readers.read_config(str(tmp_path / "c.yaml"), {})
+
+
+def test_table_signature_knows_rows_and_not_their_order(spark, tmp_path):
+    rows = [(i, f"t{i}", None if i % 7 else i / 3, [i, None], {"k": f"v{i}"}, bytes([i])) for i in range(60)]
+    schema = "a long, b string, c double, d array<int>, e map<string, string>, f binary"
+    key = lambda rows, parts, parameters={"n": 1}: readers.table_signature(spark.createDataFrame(rows, schema).repartition(parts), parameters)  # noqa: E731, B006
+    first = key(rows, 1)
+    assert first == key(rows[::-1], 5)
+    assert key(rows, 1, {"n": 2}) != first
+    others = [rows[:-1], rows + rows[:1], [*rows[:-1], (59, "t59", 0.0, [59, None], {"k": "v59"}, bytes([59]))], [*rows[:-1], (59, "t59", None, [59], {"k": "v59"}, bytes([59]))], [(*r[:1], r[1] + "x", *r[2:]) if r[0] == 5 else r for r in rows]]
+    assert len({first, *(key(o, 2) for o in others)}) == 1 + len(others)
+    assert readers.table_signature(spark.createDataFrame(rows, schema).withColumnRenamed("a", "z"), {"n": 1}) != first
+    # a null, the mark for it, and values that run together
+    two = lambda *r: readers.table_digest(spark.createDataFrame([r], "a string, b string")).first()
+    assert len({tuple(two(*r)) for r in ((None, "x"), ("-", "x"), ("", "-x"), ("1:a", "b"), ("1", "a:b"))}) == 5
+    assert tuple(readers.table_digest(spark.createDataFrame([], schema)).first()) == (0, "0", "0")
+    # a cache is made anew for another table only
+    made = []
+    for part in (rows, rows[::-1], rows[:-1]):
+        df = spark.createDataFrame(part, schema)
+        readers.cached_features(spark, str(tmp_path / "c"), readers.table_signature(df, {}), lambda df=df: made.append(1) or df.select("a"))
+    assert len(made) == 2
+
+
+def test_metrics_files_of_every_kind_become_rows(spark, tmp_path):
+    files = {
+        "a/detection_metrics.json": {"overall": {"accuracy": 0.5, "balanced_accuracy": 0.25, "macro_f1": 1, "auroc": 0.75, "other": 3}, "per_generator": {"x": {"accuracy": 1}}},
+        "dct/metrics.json": {"mode": "random", "test": {"balanced_accuracy": 0.5, "macro_f1": 0.5}},
+        "b/attribution_metrics.json": {"in_set": {"top1_accuracy": 0.1, "macro_f1": 0.2, "balanced_accuracy": 0.3}, "out_of_set": {"n": 0}},
+        "b/finetune_metrics.json": {"test": {"top1_accuracy": 0.4, "macro_f1": 0.5, "balanced_accuracy": 0.6}},
+        "c/logo_summary.json": {"gen.x": {"n_held_out": 7, "mean_confidence": 0.5, "mean_entropy": 0.1, "forced_label_distribution": {"p": 3, "q": 4}}},
+        "c/out_of_set_summary.json": {"m": {"in_set": {"mean_confidence": 0.5, "n": 3}, "out_of_set": {"mean_confidence": 0.25, "n": 0}}},
+        "d/cascade_metrics.json": {"known_fake": {"n": 5, "n_detected": 4, "conditional_attribution": None, "end_to_end_attribution": {"top1_accuracy": 0.5}}},
+        "e/renamed.json": {"overall": {"accuracy": 0.125}},
+        "e/other.json": {"something": 1},
+        "e/list.json": [1, 2],
+    }
+    for name, content in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(json.dumps(content, indent=1))
+    (tmp_path / "e" / "broken.json").write_text("{")
+    got = {}
+    for r in readers.metrics_report(spark, str(tmp_path)).collect():
+        got.setdefault((r.file.split(f"{tmp_path}/")[1], r.kind), {})[r.path] = r.value
+    assert got == {
+        ("a/detection_metrics.json", "detection"): {"overall.accuracy": 0.5, "overall.balanced_accuracy": 0.25, "overall.macro_f1": 1.0, "overall.auroc": 0.75},
+        ("dct/metrics.json", "svm"): {"test.balanced_accuracy": 0.5, "test.macro_f1": 0.5},
+        ("b/attribution_metrics.json", "attribution"): {"in_set.top1_accuracy": 0.1, "in_set.macro_f1": 0.2, "in_set.balanced_accuracy": 0.3},
+        ("b/finetune_metrics.json", "attribution"): {"test.top1_accuracy": 0.4, "test.macro_f1": 0.5, "test.balanced_accuracy": 0.6},
+        ("c/logo_summary.json", "leave_one_out"): {"gen.x.n_held_out": 7.0, "gen.x.mean_confidence": 0.5, "gen.x.mean_entropy": 0.1, "gen.x.forced_label_distribution.p": 3.0, "gen.x.forced_label_distribution.q": 4.0},
+        ("c/out_of_set_summary.json", "out_of_set"): {"m.in_set.mean_confidence": 0.5, "m.in_set.n": 3.0, "m.out_of_set.mean_confidence": 0.25, "m.out_of_set.n": 0.0},
+        ("d/cascade_metrics.json", "cascade"): {"known_fake.n": 5.0, "known_fake.n_detected": 4.0, "known_fake.end_to_end_attribution.top1_accuracy": 0.5},
+        ("e/renamed.json", "detection"): {"overall.accuracy": 0.125},
+        ("e/broken.json", "unparsable"): {None: None},
+    }
