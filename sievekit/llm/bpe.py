@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,6 +44,8 @@ NEWER = (
     (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD),
     (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
 )
+#: Bytes that begin code points from there on, to pass over most texts quickly.
+_FAR = re.compile(rb"[\xd5-\xf4]")
 _NEWER = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER) + "]")
 
 #: Words remembered with their ids, in each task.
@@ -146,7 +149,7 @@ class Encoder:
 
     def _plain(self, text: str, ids: list[int]) -> None:
         known, vocabulary = self.known, self.vocabulary
-        if _NEWER.search(text):
+        if not text.isascii() and _FAR.search(text.encode("utf-8", "surrogatepass")) and _NEWER.search(text):
             # cut as if there stood signs
             cuts = (m.span() for m in self.words.finditer(_NEWER.sub("!", text)))
             words = (text[a:b] for a, b in cuts)
