@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievekit.functions import kernels
-from sievekit.sources import readers
+from sievekit.sources import headers, readers
 from sievekit.streaming import incremental
 
 
@@ -165,3 +165,39 @@ def test_metrics_files_of_every_kind_become_rows(spark, tmp_path):
         ("e/renamed.json", "detection"): {"overall.accuracy": 0.125},
         ("e/broken.json", "unparsable"): {None: None},
     }
+
+
+def _jpeg(width, height, before=b"", frame=0xC0):
+    size = b"\x08" + height.to_bytes(2, "big") + width.to_bytes(2, "big") + b"\x03"
+    return b"\xff\xd8" + before + bytes([0xFF, frame]) + (2 + len(size)).to_bytes(2, "big") + size
+
+
+def test_headers_are_read_without_the_images(spark, tmp_path):
+    chunk = lambda kind, data: len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+    png = lambda w, h, extra=0: b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", w.to_bytes(4, "big") + h.to_bytes(4, "big") + b"\x08\x00\x00\x00\x00") + chunk(b"IDAT", zlib.compress(bytes(w + 1) * h)) + chunk(b"IEND", b"") + bytes(extra)
+    segment = lambda kind, n: bytes([0xFF, kind]) + (n + 2).to_bytes(2, "big") + bytes(n)
+    files = {
+        "a.png": (png(7, 5), (7, 5)),
+        "big.png": (png(300, 200, 5_000_000), (300, 200)),
+        "a.jpg": (_jpeg(640, 480), (640, 480)),
+        "thumb.jpeg": (_jpeg(33, 44, segment(0xE1, 60_000) + segment(0xE1, 60_000) + b"\xff\xff" + segment(0xFE, 3), 0xC2) + bytes(3_000_000), (33, 44)),
+        "a.gif": (b"GIF89a" + (9).to_bytes(2, "little") + (8).to_bytes(2, "little") + bytes(9), (9, 8)),
+        "a.bmp": (b"BM" + bytes(12) + (40).to_bytes(4, "little") + (11).to_bytes(4, "little") + (-12).to_bytes(4, "little", signed=True) + bytes(9), (11, 12)),
+        "empty.png": (b"", (-1, -1)),
+        "cut.png": (png(7, 5)[:20], (-1, -1)),
+        "cut.jpg": (_jpeg(640, 480)[:7], (-1, -1)),
+        "text.jpg": (b"no picture", (-1, -1)),
+        "scan.jpg": (b"\xff\xd8" + segment(0xDA, 4), (-1, -1)),
+        "loop.jpg": (b"\xff\xd8" + b"\xff\xe0\x00\x00" * 3000, (-1, -1)),
+    }
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    for i, (name, (data, _)) in enumerate(files.items()):
+        (tmp_path / "deep" / ("er" if i % 2 else "") / name).write_bytes(data)
+    (tmp_path / "note.txt").write_text("x")
+    del files["empty.png"]  # Spark doesn't list it
+    rows = headers.scan_headers(spark, str(tmp_path)).collect()
+    assert {r.filename: (r.width, r.height) for r in rows} == {n: size for n, (_, size) in files.items()}
+    assert all(r.length == len(files[r.filename][0]) and r.n_read <= (30_000 if r.filename == "loop.jpg" else 4096 + 6 * 64) for r in rows)
+    same = {r.filename: (r.width, r.height) for r in readers.scan_images(spark, str(tmp_path), "*.png").collect()}
+    assert same == {n: size for n, (_, size) in files.items() if n.endswith("png")}
+    assert {r.filename for r in headers.scan_headers(spark, str(tmp_path), exclude="^[^b]").collect()} == {"big.png"}
