@@ -30,7 +30,7 @@ def folders(spark, tmp_path_factory):
 def test_contents_over_odd_tables(spark, folders):
     """What each query says of the odd rows: empty texts, repeated rows, the long ones, and the one with finds."""
     odd = folders[0]
-    rows = {name: registry.QUERIES[name](spark, odd).collect() for name in registry.QUERIES if name != "pipeline" and not name.startswith("op8")}
+    rows = {name: registry.QUERIES[name](spark, odd).collect() for name in registry.QUERIES if name != "pipeline" and not name.startswith(("op8", "op12", "op13"))}
     of = lambda name, i: [r for r in rows[name] if r.doc_id == i]
     for name in rows:
         ids = sorted(str(r.doc_id) for r in rows[name])
@@ -48,6 +48,13 @@ def test_contents_over_odd_tables(spark, folders):
     leaks = {r.doc_id for r in rows["op9_decontamination"] if r.contaminated}
     assert leaks == {5}
     assert [r.n_assign for r in of("op10_secret_scan", 54)] == [1]
+    assert sorted(r.n for r in of("op11_fill_in_middle", 7))[:2] == [0, 0] and {r.form for r in of("op11_fill_in_middle", 7) if not r.n} == {"plain"}
+    assert [r.n for r in of("op11_fill_in_middle", 51)] == [1] and [r.n for r in of("op11_fill_in_middle", 52)] == [500]
+    pages = {(r.page_id, r.url): r for r in registry.QUERIES["op12_main_text"](spark, odd).collect()}
+    assert pages[2, "u"].text == pages[None, None].text == "" and pages[3, "u\nv"].n_chars == 100_000
+    groups = registry.QUERIES["op13_source_divergence"](spark, odd).collect()
+    # one source a language, so terms only; null languages are the empty one
+    assert {(r.lang, r.source, r.part) for r in groups} <= {("en", "s", "term"), ("", "s", "term")}
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
@@ -58,6 +65,6 @@ def test_odd_and_empty_tables(spark, folders, name):
     if name == "pipeline":
         assert 0 < n < n_docs
     else:
-        assert n == (n_pages if name.startswith("op8") else n_docs)
+        assert name.startswith("op13") or n == (n_pages if name.startswith(("op8", "op12")) else n_docs)
     nothing = registry.QUERIES[name](spark, empty)
     assert nothing.columns == got.columns and nothing.count() == 0
