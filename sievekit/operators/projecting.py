@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievekit.sources.shared import stored
+
 
 def has_prefix(df: DataFrame, column: str, prefix: str) -> DataFrame:
     return df.where(F.coalesce(F.startswith(F.col(column), F.lit(prefix)), F.lit(False)))
@@ -57,9 +59,19 @@ def metadata_features(df: DataFrame) -> DataFrame:
 
 
 def occurrences(df: DataFrame, source: str, order: str, n: int) -> DataFrame:
-    """How often a source was used before (turn) and which of its n uses this is (use); the uses of one source are ordered in one task."""
-    at = F.row_number().over(Window.partitionBy(source).orderBy(order)) - 1
-    return df.withColumn("turn", F.floor(at / n).cast("int")).withColumn("use", F.pmod(at, F.lit(n)).cast("int"))
+    """How often a source was used before (turn) and which of its n uses this is (use).
+
+    Rows are dealt to ranges of source and order, so the uses of a frequent source
+    are ranked in several tasks; a small table has each source's rows in earlier ranges.
+    """
+    dealt = stored(df.repartitionByRange(F.col(source), F.col(order)).withColumn("__range", F.spark_partition_id()), "occurrences")
+    sizes = dealt.groupBy(F.col(source).alias("__s"), F.col("__range").alias("__r")).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy("__s").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("__s", "__r", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(source, "__range").orderBy(order)) - 1
+    ranked = dealt.withColumn("__i", inside).join(sizes, F.col(source).eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r")))
+    at = F.col("__before") + F.col("__i")
+    return ranked.withColumns({"turn": F.floor(at / n).cast("int"), "use": F.pmod(at, F.lit(n)).cast("int")}).drop("__range", "__i", "__s", "__r", "__before")
 
 
 def captions_of(df: DataFrame, captions: DataFrame, key: str = "full_path", source: str = "source_path", caption: str = "blip_caption") -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import random
 import zlib
 
 import numpy as np
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievekit.functions import kernels
+from sievekit.operators import projecting
 from sievekit.sources import headers, readers
 from sievekit.streaming import incremental
 
@@ -201,3 +203,26 @@ def test_headers_are_read_without_the_images(spark, tmp_path):
     same = {r.filename: (r.width, r.height) for r in readers.scan_images(spark, str(tmp_path), "*.png").collect()}
     assert same == {n: size for n, (_, size) in files.items() if n.endswith("png")}
     assert {r.filename for r in headers.scan_headers(spark, str(tmp_path), exclude="^[^b]").collect()} == {"big.png"}
+
+
+@pytest.mark.parametrize("cuts", [[40], [1, 2, 17, 40], [13, 13, 40]])
+def test_stream_states_equal_the_batch_after_any_cut_and_restart(spark, tmp_path, cuts):
+    draw = random.Random(2)
+    rows = [(i, draw.choice(["a", "a", "a", "b", None]), draw.randrange(12)) for i in range(40)]
+    schema = "i long, source string, content int"
+    want = {r.i: (r.turn, r.use) for r in projecting.occurrences(spark.createDataFrame(rows, schema), "source", "i", 3).collect()}
+    made = {"uses": lambda s: incremental.numbered_uses(s, "source", "i", 3), "first": lambda s: incremental.first_copies(s, ["content"])}
+    low = 0
+    for k, high in enumerate(cuts):  # each part is a run of its own, which ends
+        spark.createDataFrame(rows[low:high], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        low = high
+        for name, make in made.items():
+            stream = make(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+            query = stream.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"at-{name}")).trigger(availableNow=True).start()
+            query.awaitTermination()
+    uses = spark.read.parquet(str(tmp_path / "uses")).collect()
+    assert len(uses) == len(rows) and {r.i: (r.turn, r.use) for r in uses} == want
+    first = spark.read.parquet(str(tmp_path / "first")).collect()
+    assert sorted(r.content for r in first) == sorted({c for _, _, c in rows})
+    cut_of = lambda i: next(k for k, high in enumerate(cuts) if i < high)
+    assert all(cut_of(r.i) == min(cut_of(i) for i, _, c in rows if c == r.content) for r in first)
