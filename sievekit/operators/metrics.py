@@ -145,6 +145,33 @@ def slice_fold(df: DataFrame, classes: list, truth: str = "true_class", predicti
     return df.where(F.col(truth).isin(classes)).withColumn(prediction, inside).withColumn(truth, F.col(truth).cast("string"))
 
 
+def comparison(methods: dict[str, tuple[DataFrame, list]], real: list, slices: dict[str, list] | None = None, external: dict[str, tuple[DataFrame, list | None]] | None = None) -> DataFrame:
+    """One row for each method, each of its slices and each external detector: attribution, detection, and the classes that it was trained on.
+
+    methods: name -> (rows of true_class and pred_class, classes). A slice's row is
+    named method__slice; predictions outside the slice count as errors, and it
+    has no detection. external: name -> (rows of y_true and pred, classes or
+    None where unknown); a detector's accuracy stands for top-1. Rows compare
+    fairly only where their classes are equal.
+    """
+    text = lambda classes: F.lit(None if classes is None else ",".join(map(str, classes))).cast("string")
+    count = lambda classes: F.lit(None if classes is None else len(classes)).cast("long")
+    nothing = F.lit(None).cast("double")
+    out = None
+    for name, (rows, classes) in methods.items():
+        folded = rows.select((~F.col("true_class").isin(real)).cast("int").alias("y_true"), (~F.col("pred_class").isin(real)).cast("int").alias("pred"))
+        judged = detection(folded).select(F.col("balanced_accuracy").alias("detection_balanced_accuracy"))
+        parts = [attribution(rows).withColumn("method", F.lit(name)).crossJoin(F.broadcast(judged))]  # one row each
+        parts += [attribution(slice_fold(rows, wanted)).withColumns({"method": F.lit(f"{name}__{s}"), "detection_balanced_accuracy": nothing}) for s, wanted in (slices or {}).items()]
+        for part in parts:
+            one = part.withColumns({"classes": text(classes), "n_classes": count(classes)})
+            out = one if out is None else out.unionByName(one)
+    for name, (rows, classes) in (external or {}).items():
+        one = detection(rows).select("n", F.col("accuracy").alias("top1"), "macro_f1", "balanced_accuracy", F.lit(name).alias("method"), F.col("balanced_accuracy").alias("detection_balanced_accuracy"), text(classes).alias("classes"), count(classes).alias("n_classes"))
+        out = one if out is None else out.unionByName(one)
+    return out.select("method", "n", "top1", "macro_f1", "balanced_accuracy", "detection_balanced_accuracy", "classes", "n_classes")
+
+
 def entropy(probabilities: Column) -> Column:
     """-sum p ln p, each p clipped to [1e-12, 1]."""
     clipped = F.transform(probabilities, lambda p: F.least(F.greatest(p, F.lit(1e-12)), F.lit(1.0)))

@@ -278,6 +278,16 @@ def method_comparison(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(first.unionByName(second)).select("method", "n", "accuracy", "balanced_accuracy", "macro_f1")
 
 
+def attribution_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Two attributors with the slice of odd classes, and a detector from outside whose classes aren't known; class 0 is real."""
+    a = predicted(spark, d).select("vec_id", "true_class", "pred_class")
+    h = lambda seed: hash_fraction(seed, F.col("vec_id"))
+    b = a.withColumn("pred_class", F.when(h(21) < 0.6, F.col("true_class")).otherwise(F.floor(h(22) * len(KNOWN)).cast("int")))
+    detected = (h(11) < F.when(F.col("true_class") == 0, 0.2).otherwise(0.85)).cast("int")
+    outside = a.select((F.col("true_class") > 0).cast("int").alias("y_true"), detected.alias("pred"))
+    return _rounded(metrics.comparison({"a": (a, list(range(10))), "b": (b, KNOWN)}, [0], {"odd": [1, 3, 5]}, {"outside": (outside, None)}))
+
+
 def report_rollup(spark: SparkSession, d: str) -> DataFrame:
     """One row for each method and metric, ordered inside the metric by value."""
     rows = method_comparison(spark, d).unpivot(["method"], ["accuracy", "balanced_accuracy", "macro_f1"], "metric", "value")
@@ -325,6 +335,7 @@ QUERIES = {
         paired_bootstrap,
         paired_auroc,
         method_comparison,
+        attribution_comparison,
         report_rollup,
         seed_sweep,
     )
@@ -426,7 +437,19 @@ d{level + 1} as (select {stratum}, rep, 2 * node node, k::bigint n from b{level}
 _SUPPORTS = "sp as (select min(n) least_drawn, max(n) most_drawn from (select rep, sum(n)::bigint n from mn group by rep))"
 _CONTINUOUS = f"sc as (select doc_id, toxic y_true, {_h(1, 'doc_id')} * 0.6::double + toxic * {_h(2, 'doc_id')} * 0.4::double score, {_h(3, 'doc_id')} * 0.7::double + toxic * {_h(4, 'doc_id')} * 0.3::double score_b from labels)"
 
+def _attributed(rows: str, name: str, classes: str, n: int) -> str:
+    """Selects of a method's row and of that of its slice."""
+    folded = f"(select (true_class > 0)::int y_true, (pred_class > 0)::int pred from {rows})"
+    part = f"(select true_class::varchar true_class, case when pred_class in (1, 3, 5) then pred_class::varchar else '__other__' end pred_class from {rows} where true_class in (1, 3, 5))"
+    return f"""select '{name}' as method, n, top1, macro_f1, balanced_accuracy, (select balanced_accuracy from ({_detection(folded, '')})) detection_balanced_accuracy, '{classes}' classes, {n}::bigint n_classes from (with {_per_class(rows)} {_ATTRIBUTION})
+union all select '{name}__odd', n, top1, macro_f1, balanced_accuracy, null, '{classes}', {n}::bigint from (with {_per_class(part)} {_ATTRIBUTION})"""
+
+
 ORACLES = {
+    "attribution_comparison": f"""with {_P}, pb as (select true_class, case when {_h(21, 'vec_id')} < 0.6 then true_class else floor({_h(22, 'vec_id')} * 6)::int end pred_class from p),
+po as (select (true_class > 0)::int y_true, ({_h(11, 'vec_id')} < case when true_class = 0 then 0.2 else 0.85 end)::int pred from p)
+{_attributed('p', 'a', '0,1,2,3,4,5,6,7,8,9', 10)} union all {_attributed('pb', 'b', '0,1,2,3,4,5', 6)}
+union all select 'outside', n, accuracy, macro_f1, balanced_accuracy, balanced_accuracy, null, null from ({_detection('po', '')})""",
     "bootstrap_stratified_ci": f"with {_HITS}, {_multinomial('ph', 'true_class', 'hit', 1)}, {_SUPPORTS}, {_BALANCED.replace('from bs', 'from mn')} select * from (select {_INTERVAL} from ba), sp",
     "bootstrap_stratified_cluster_ci": f"""with {_HITS}, gr as (select true_class, grp, sum(hit::int)::bigint hits, count(*)::bigint size from ph group by true_class, grp), {_multinomial('gr', 'true_class', 'hits, size', 5)}, {_SUPPORTS},
 ba as (select rep, avg(recall) v from (select rep, true_class, sum(n * hits)::double / sum(n * size) recall from mn group by rep, true_class) group by rep) select * from (select {_INTERVAL} from ba), sp""",
