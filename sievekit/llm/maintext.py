@@ -117,7 +117,10 @@ def _attributes(rest: str) -> tuple[frozenset, bool, str]:
     for name, a, b, c in ATTRIBUTE.findall(rest):
         name, value = name.lower(), a or b or c
         if name in ("class", "id", "role", "itemprop"):
-            words.update(w.lower() for w in WORD.findall(html.unescape(value)))
+            value = html.unescape(value)
+            words.update(w.lower() for w in WORD.findall(value))
+            # sideBar and side-bar are a sidebar
+            words.update(MARKS.intersection(re.sub(r"[^a-z]", "", one.lower()) for one in value.split()))
             if name == "class":
                 like = value
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -258,12 +261,14 @@ def _take_out(page: Page) -> None:
     for line in page.lines:
         before.append(before[-1] + (0 if line.node.hidden else line.size))
     size = lambda n: before[n.last] - before[n.first]
-    for n in page.nodes:
-        if not n.hidden and (n.name == "main" or n.name == "article" and not n.words & COMMENTS) and not (n.name == "article" and _within(n.parent, ("aside", "footer", "nav"))):
-            up = n.parent
-            while up and not up.holds:
-                up.holds = True
-                up = up.parent
+    # the article proper: the largest one that isn't part of another or of something aside
+    own = lambda n: n.name == "article" and not n.words & COMMENTS and not _within(n.parent, ("article", "aside", "footer", "nav"))
+    articles = [n for n in page.nodes if not n.hidden and own(n)]
+    for n in [n for n in page.nodes if not n.hidden and n.name == "main"] + ([max(articles, key=size)] if articles else []):
+        up = n.parent
+        while up and not up.holds:
+            up.holds = True
+            up = up.parent
     whole = before[-1]
     asides = sum(size(n) for n in page.nodes if n.name in ASIDE and not n.hidden and not n.holds and not _within(n.parent, tuple(ASIDE)))
     for n in page.nodes:

@@ -27,6 +27,8 @@ PAGES = {
     "wrapped paragraphs": f'<body><div class="t">{MENU}</div><div class="c"><h1>Head</h1>{"".join(f"<div class=q><p>{a}</p></div>" for a in ARTICLE)}<div class=q><p>Short end.</p></div></div><div class="f">Imprint</div></body>',
     "wrapper named after the sidebar": f'<body class="has-sidebar"><div class="with-sidebar"><h1>Head</h1>{BODY}</div><aside>{OTHER}</aside></body>',
     "unseen": f'<body><article><h1>Head</h1><script>var t = "</p><p>{P}";</script><style>p {{}}</style><noscript>{OTHER}</noscript><p hidden>{P}</p><div style="display: none">{OTHER}</div>{BODY}</article></body>',
+    "cards beside and below the article": f'<body><article><h1>Head</h1>{BODY}<section class="related-posts"><article><h3>Other</h3>{OTHER}</article></section><div id="comments"><article>{OTHER}</article></div></article><div class="sideBar"><article>{OTHER}</article></div></body>',
+    "marks in other spellings": f'<body><div class="pageWrap"><div class="side-bar">{OTHER}</div><div class="text"><h1>Head</h1>{BODY}</div><div id="newsletterSignup">{OTHER}</div></div></body>',
     "form around all": f'<body><form action="/"><div class="m">{MENU}</div><div class="c"><h1>Head</h1>{BODY}</div></form></body>',
 }
 
