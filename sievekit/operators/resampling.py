@@ -72,11 +72,11 @@ def stratified_bootstrap(df: DataFrame, stratum: str, order: str, reps: int) ->
     The result has reps times the rows of df; where sums over cells suffice,
     replicates() needs neither ranks nor joins.
     """
-    ranked = ranked(df, stratum, order)
-    slots = ranked.select(stratum, F.col("__i").alias("__slot"), "__n").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    places = ranked(df, stratum, order)
+    slots = places.select(stratum, F.col("__i").alias("__slot"), "__n").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     digits = F.substring(F.sha2(F.concat_ws(":", F.col("rep").cast("string"), F.col(stratum).cast("string"), F.col("__slot").cast("string")), 256), 1, 15)
     draws = slots.select(stratum, "rep", (F.conv(digits, 16, 10).cast("bigint") % F.col("__n")).alias("__i"))
-    return draws.join(ranked.drop("__n"), [stratum, "__i"]).drop("__i")
+    return draws.join(places.drop("__n"), [stratum, "__i"]).drop("__i")
 
 
 def cluster_bootstrap(df: DataFrame, stratum: str, group: str, reps: int) -> DataFrame:
