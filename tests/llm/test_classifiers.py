@@ -231,3 +231,27 @@ def test_differences_equal_the_formulas(spark):
         assert high - low == len(w)
         brute = [math.log(toxic(h, x) / ordinary(h, x)) for h, x in zip(["<s>", *w[:-1]], w)]
         assert np.allclose(got[low:high], brute, atol=1e-4), t
+
+
+def test_toxicity_learns_from_every_training_row(spark):
+    docs = spark.range(14000).select(F.col("id").alias("doc_id"), F.concat(F.lit("scum"), F.col("id").cast("string"), F.lit(" here")).alias("text"))
+    labels = spark.range(14000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    models, _ = toxicity.fit(docs, labels)
+    assert len(models.words) > 14000 * (1 - toxicity.CURVE_PART) * 0.95
+
+
+def test_toxicity_models_keep_their_size_and_count_the_rest(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_BIGRAMS", 30)
+    monkeypatch.setattr(toxicity, "MOST_WORDS", 30)
+    texts = [(" ".join(["scum"] * (i % 3) + ["scuma", f"scumb{i}"] * (1 + i % 2)), i % 2) for i in range(200)]
+    bigrams = toxicity.bigram_counts(spark.createDataFrame(texts, "text string, y int"))
+    per_word = toxicity.words_before(bigrams)
+    places = toxicity.held(bigrams, per_word)
+    few, every = ([toxicity.Counts(bigrams, y, *rest) for y in (0, 1)] for rest in ((per_word, places), ()))
+    assert max(len(c.n) for c in few) <= 30 < min(len(c.n) for c in every)
+    for a, b in zip(few, every):
+        assert a.total == b.total and (a.steps == b.steps).all() and (a.word_steps == b.word_steps).all()
+        assert dict(zip(a.stem, a.stem_before)).items() <= dict(zip(b.stem, b.stem_before)).items()
+        assert dict(zip(a.h, a.size)).items() <= dict(zip(b.h, b.size)).items()
+    models = toxicity.Models(few, (np.zeros(0, np.uint64), np.zeros(0)), 1.0)
+    assert all(((0 < b) & (b <= 1)).all() for b in models.back)
