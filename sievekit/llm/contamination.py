@@ -3,10 +3,10 @@
 Texts are cut into passages of WINDOW words, one from every STRIDE words on. A
 passage is a TF-IDF vector over hash buckets of words; the inverse document
 frequencies count the whole corpus. The latent space comes from a randomised SVD
-of the passages of about FIT_TEXTS texts, drawn by hash: each task adds up its
-part of A'(A R) for its passages A and a fixed random matrix R, the parts are
+of the passages of all texts, whose words are kept as bucket numbers for both
+passes over them: each task adds up its part of A'(A R) for its passages A and a fixed random matrix R, the parts are
 added by pieces, and the orthonormal basis of the sum spans the leading right
-singular vectors. A second pass over these texts takes the mean and covariance of
+singular vectors. The second pass takes the mean and covariance of
 the passages there, by which latent vectors are centred and scaled, so that the
 few directions that all texts of one language share don't decide.
 
@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, hashed_words, in_task, map_batches, mixed, read, to_tasks, word_slices
+from .common import ALNUM, forget, hashed_words, in_task, map_batches, mixed, read, stored, to_tasks, word_slices
 
 WINDOW, STRIDE = 40, 10
 #: Items of at most SHORT words are compared with passages of SHORT_WINDOW words.
@@ -50,8 +50,6 @@ BUCKETS, RANK = 1 << 15, 48
 BLOCKS = 64
 #: Vectors that the covariance of the latent space is drawn towards equal variances by; few passages don't fix it.
 SHRINKAGE = 2.0 * RANK
-#: Texts, in the mean, to which the latent space is fitted.
-FIT_TEXTS = 20_000
 MOST_ITEMS = 1 << 15
 #: Cosine in the latent space from which a passage is checked on its words: low, because the word bitmaps rule out most
 #: pairs and paraphrases at the limit of COMMON keep little of an item's direction.
@@ -203,11 +201,6 @@ def _summed(batches: Iterator[dict], column: str, kind) -> Iterator[dict]:
     yield {"block": list(sums), column: [x.tobytes() for x in sums.values()]}
 
 
-def _texts_of(batches: Iterator[dict], text: str) -> Iterator[list[np.ndarray]]:
-    for b in batches:
-        yield from _parts([words for words in word_slices(b[text], ALNUM) if len(words)], len)
-
-
 def _parts(rows: list, size) -> Iterator[list]:
     """The rows in order, in lists of at most TOGETHER words; a row may be larger."""
     part, held = [], 0
@@ -222,34 +215,45 @@ def _parts(rows: list, size) -> Iterator[list]:
 
 
 def latent_space(docs: DataFrame, idf: np.ndarray, text: str = "text") -> Space:
-    """The space fitted to the passages of about FIT_TEXTS texts."""
+    """The space fitted to the passages of all texts."""
     spark = docs.sparkSession
-    n = docs.count()
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id", text), F.lit(1 << 20)) < int((1 << 20) * min(1.0, FIT_TEXTS / max(n, 1)))).select(text)
+
+    def number(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            yield {"ids": [buckets(words).astype("<u2").tobytes() for words in word_slices(b[text], ALNUM) if len(words)]}
+
+    numbers = stored(map_batches(docs.select(text), number, "ids binary"), "bucket-numbers")
+
+    def texts_of(batches: Iterator[dict]) -> Iterator[list[np.ndarray]]:
+        for b in batches:
+            yield from _parts([np.frombuffer(x.as_buffer(), "<u2").astype(np.uint64) for x in b["ids"]], len)
+
     held = to_tasks(spark, Space(idf, np.random.default_rng(23).standard_normal((BUCKETS, RANK))))
 
     def sketch(batches: Iterator[dict]) -> Iterator[dict]:
         space, out, any_ = in_task(held), np.zeros((BUCKETS, RANK), np.float32), False
         weights = np.sqrt(space.squares)
-        for texts in _texts_of(batches, text):
+        for texts in texts_of(batches):
             any_ = True
-            ids = buckets(np.concatenate(texts))
+            ids = np.concatenate(texts).astype(np.uint16)
             place = np.concatenate([np.arange(len(x)) for x in texts])
             first = np.flatnonzero(place % WINDOW == 0)  # passages that follow one another
-            y = np.add.reduceat(np.take(space.rows, ids, axis=0), first, axis=0)
-            y /= np.maximum(np.add.reduceat(space.squares[ids], first), 1e-9)[:, None]
-            back = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids))))
+            size = np.diff(np.append(first, len(ids)))
+            y = np.zeros((len(first), RANK + 1), np.float32)
+            for k in range(int(size.max())):
+                y += np.take(space.padded, np.where(k < size, ids[np.minimum(first + k, len(ids) - 1)], BUCKETS), axis=0)
+            y = y[:, :-1] / np.maximum(y[:, -1:], 1e-9)
             order = np.argsort(ids, kind="stable")
-            ids, back = ids[order], back[order]
+            back, ids = np.repeat(np.arange(len(first)), size)[order], ids[order]
             run = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            out[ids[run]] += np.add.reduceat(y[back] * weights[ids, None], run, axis=0)
+            out[ids[run]] += np.add.reduceat(np.take(y, back, axis=0), run, axis=0) * weights[ids[run], None]
         if any_:
             yield {"block": list(range(BLOCKS)), "rows": [x.tobytes() for x in out.reshape(BLOCKS, -1)]}
 
     def total(batches: Iterator[dict]) -> Iterator[dict]:
         yield from _summed(batches, "rows", np.float32)
 
-    parts = map_batches(drawn, sketch, "block int, rows binary").repartition(BLOCKS, "block")
+    parts = map_batches(numbers, sketch, "block int, rows binary").repartition(BLOCKS, "block")
     whole = np.zeros((BLOCKS, BUCKETS * RANK // BLOCKS), np.float32)
     for row in map_batches(parts, total, "block int, rows binary").collect():  # BLOCKS rows of fixed size
         whole[row.block] = np.frombuffer(row.rows, np.float32)
@@ -258,7 +262,7 @@ def latent_space(docs: DataFrame, idf: np.ndarray, text: str = "text") -> Space:
 
     def moments(batches: Iterator[dict]) -> Iterator[dict]:
         space, n, sums, squares = in_task(plain), 0, np.zeros(RANK), np.zeros((RANK, RANK))
-        for texts in _texts_of(batches, text):
+        for texts in texts_of(batches):
             x = space.passages(texts)[2]
             n, sums, squares = n + len(x), sums + x.sum(axis=0), squares + x.T @ x
         if n:
@@ -267,7 +271,8 @@ def latent_space(docs: DataFrame, idf: np.ndarray, text: str = "text") -> Space:
     def added(batches: Iterator[dict]) -> Iterator[dict]:
         yield from _summed(batches, "rows", float)
 
-    got = map_batches(map_batches(drawn, moments, "block int, rows binary").repartition(1), added, "block int, rows binary").collect()  # one row of fixed size
+    got = map_batches(map_batches(numbers, moments, "block int, rows binary").repartition(1), added, "block int, rows binary").collect()  # one row of fixed size
+    forget(numbers)
     if not got:
         return Space(idf, basis)
     n, sums, squares = np.split(np.frombuffer(got[0].rows, float), [1, 1 + RANK])

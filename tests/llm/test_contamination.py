@@ -181,3 +181,16 @@ def test_blocks_of_items(spark, monkeypatch):
     whole = {(r.doc_id, r.item_id) for r in c.matches(rows, bench).collect()}
     monkeypatch.setattr(c, "MOST_ITEMS", 4)
     assert {(r.doc_id, r.item_id) for r in c.matches(rows, bench).collect()} == whole
+
+
+def test_latent_space_is_fitted_to_every_text(spark):
+    texts = [f"w{i % 7} w{i % 11} w{i % 400}" for i in range(40000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    idf = c.document_frequencies(docs)
+    space = c.latent_space(docs, idf)
+    basis = space.rows / idf[:, None]
+    x = c.Space(idf, basis).passages([c.words_of(t) for t in texts])[2]
+    mean, scaling = c._shrunk(len(x), x.sum(axis=0), x.T @ x)
+    assert np.allclose(space.mean, mean, atol=1e-5)
+    # a sample of half of them has other moments
+    assert not np.allclose(space.mean, c._shrunk(20000, x[::2].sum(axis=0), x[::2].T @ x[::2])[0], atol=1e-5)
