@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, RandomForestClassifier
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.classification import LinearSVC
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievekit.operators.forests import forest
 from sievekit.operators.metrics import class_weights, detection, ranking
 from sievekit.operators.resampling import ranked
 from sievekit.operators.splitting import assign_splits
-from sievekit.sources.shared import stored
+from sievekit.sources.shared import drop, stored
 
 
 def as_vectors(df: DataFrame, features: str) -> DataFrame:
@@ -39,10 +40,10 @@ def margins(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def probe_importances(df: DataFrame, columns: list[str], label: str, trees: int = 300, seed: int = 42) -> DataFrame:
     """(feature, importance) of a random forest that tells the labels apart by metadata alone."""
-    rows = VectorAssembler(inputCols=columns, outputCol="vector").transform(df.dropna(subset=[*columns, label]))
-    forest = RandomForestClassifier(featuresCol="vector", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=10, seed=seed)
-    model = forest.fit(weighted(rows, label))
-    return df.sparkSession.createDataFrame(list(zip(columns, map(float, model.featureImportances.toArray()))), "feature string, importance double")
+    rows = stored(df.dropna(subset=[*columns, label]).select(*columns, label), "probe-rows")
+    gains, _ = forest(rows, columns, label, trees, seed)
+    drop(rows)
+    return df.sparkSession.createDataFrame(list(zip(columns, map(float, gains))), "feature string, importance double")
 
 
 def permuted(df: DataFrame, columns: list[str], key: str) -> DataFrame:
@@ -73,13 +74,10 @@ def held_out_probe(df: DataFrame, columns: list[str], label: str, key: str, sour
     """
     rows = df.dropna(subset=[*columns, label]).select(key, source, F.col(label).cast("int").alias(label), *[F.col(c).cast("double").alias(c) for c in columns])
     rows = stored(assign_splits(rows, key, label, test=test, val=0.0, seed=seed), "probe-rows")
-    assembler = VectorAssembler(inputCols=columns, outputCol="vector")
-    forest = RandomForestClassifier(featuresCol="vector", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=10, seed=seed)
-    model = forest.fit(weighted(assembler.transform(rows.where("split = 'train'")), label))
     held = rows.where("split = 'test'").drop("split")
-    whole = held.withColumn("permuted", F.lit("")).unionByName(permuted(held, columns, key))
-    chance = vector_to_array("probability")[1]
-    scored = model.transform(assembler.transform(whole)).select(key, source, "permuted", F.col(label).alias("y_true"), chance.alias("score"), (chance >= 0.5).cast("int").alias("pred"))
+    whole = stored(held.withColumn("permuted", F.lit("")).unionByName(permuted(held, columns, key)), "probe-permuted")
+    gains, scored = forest(rows.where("split = 'train'"), columns, label, trees, seed, whole)
+    scored = scored.select(key, source, "permuted", F.col(label).alias("y_true"), F.col("chance").alias("score"), (F.col("chance") >= 0.5).cast("int").alias("pred"))
     scored = stored(scored, "probe-scores")
     plain = scored.where("permuted = ''")
     accuracy = detection(scored, by=["permuted"]).select("permuted", "n", "balanced_accuracy")
@@ -89,7 +87,7 @@ def held_out_probe(df: DataFrame, columns: list[str], label: str, key: str, sour
         "auroc": ranking(plain).select(F.lit("auroc").alias("name"), (F.col("n_pos") + F.col("n_neg")).alias("n"), F.col("auroc").alias("value")),
         "permutation": accuracy.where("permuted <> ''").crossJoin(F.broadcast(own.select(F.col("balanced_accuracy").alias("whole")))).select(F.col("permuted").alias("name"), "n", (F.col("whole") - F.col("balanced_accuracy")).alias("value")),  # one row
         "source": plain.groupBy(F.col(source).cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("pred").cast("double")).alias("value")),
-        "importance": df.sparkSession.createDataFrame(list(zip(columns, [0] * len(columns), map(float, model.featureImportances.toArray()))), "name string, n long, value double"),
+        "importance": df.sparkSession.createDataFrame(list(zip(columns, [0] * len(columns), map(float, gains))), "name string, n long, value double"),
     }
     out = None
     for kind, part in made.items():

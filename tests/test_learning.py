@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievekit.functions import kernels
-from sievekit.operators import heads, learning, metrics, resampling
+from sievekit.operators import forests, heads, learning, metrics, resampling
 
 
 def points(n=400, seed=0):
@@ -181,3 +181,12 @@ def test_held_out_probe_blames_the_telling_column_and_source(spark):
     assert value["permutation", "a"][1] > 0.3 > 0.02 > abs(value["permutation", "b"][1])
     assert value["importance", "a"][1] > 0.9
     assert value["source", "big"] == (40, 1.0) and value["source", "s0"][1] == value["source", "s1"][1] == 0.0
+
+
+def test_forest_counts_cells_and_not_rows(spark):
+    rows = spark.range(40000).select((F.col("id") % 100).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"), (F.col("id") % 100 >= 60).cast("int").alias("y"))
+    gains, scored = forests.forest(rows, ["a", "b"], "y", 20, 1, rows.distinct())
+    assert gains[0] > 0.95 and sum(gains) == pytest.approx(1)
+    assert all((r.chance >= 0.5) == (r.y == 1) for r in scored.collect())
+    again, _ = forests.forest(rows.repartition(7), ["a", "b"], "y", 20, 1)
+    assert np.allclose(gains, again)
