@@ -212,3 +212,14 @@ def test_component_rank_is_clamped(spark):
     rows = learning.as_vectors(frame(spark, [([draw.random() for _ in range(40)],) for _ in range(15)], "x array<double>"), "x")
     model = learning.fit_components(rows, 64)
     assert len(model.transform(rows).first().components) == 14
+
+
+def test_least_bytes_are_those_of_hex_minima():
+    import hashlib
+
+    from sievekit.plans import audits
+
+    for text in ("a b c d e a b c", "one", "", "é  x\ny z"):
+        words = text.split(" ")
+        runs = [hashlib.md5(" ".join(words[i : i + 3]).encode()).hexdigest() for i in range(max(len(words) - 2, 1))]
+        assert audits._least_bytes(hashlib.md5, 7, text).tolist() == [int(min(h[4 * k : 4 * k + 8] for h in runs)[6:], 16) for k in range(7)]
