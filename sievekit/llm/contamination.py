@@ -4,9 +4,9 @@ Texts are cut into passages of WINDOW words, one from every STRIDE words on. A
 passage is a TF-IDF vector over hash buckets of words; the inverse document
 frequencies count the whole corpus. The latent space comes from a randomised SVD
 of the passages of all texts, whose words are kept as bucket numbers for both
-passes over them: each task adds up its part of A'(A R) for its passages A and a fixed random matrix R, the parts are
-added by pieces, and the orthonormal basis of the sum spans the leading right
-singular vectors. The second pass takes the mean and covariance of
+passes over them and the document frequencies: each task adds up its part of A'(A R)
+for its passages A and a fixed random matrix R, the parts are added by pieces, and
+the orthonormal basis of the sum spans the leading right singular vectors. The next pass takes the mean and covariance of
 the passages there, by which latent vectors are centred and scaled, so that the
 few directions that all texts of one language share don't decide.
 
@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, forget, hashed_words, in_task, map_batches, mixed, read, stored, to_tasks, word_slices
+from .common import ALNUM, forget, in_task, map_batches, mixed, read, stored, to_tasks, word_slices
 
 WINDOW, STRIDE = 40, 10
 #: Items of at most SHORT words are compared with passages of SHORT_WINDOW words.
@@ -60,6 +60,8 @@ COMMON, LEAST = 0.6, 8
 COPY = 0.9
 #: Words of texts that a task works on together, if no single text has more: their strides and vectors take some 500 bytes a word.
 TOGETHER = 1 << 17
+#: Rows of a key that add_rows() adds up before it sorts again.
+ROUNDS = 16
 #: 64-bit parts of a passage's word bitmap.
 PARTS = 8
 #: Words up to which an answer must be there whole; of a longer one, a share of COMMON.
@@ -163,31 +165,61 @@ class Strides:
         return out
 
 
-def document_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Inverse document frequencies of the buckets over all passages, from per-task counts of fixed size."""
+def bucket_numbers(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The words of each text that has any as bucket numbers of two bytes, stored, so that words are hashed once for all passes."""
 
-    def count(batches: Iterator[dict]) -> Iterator[dict]:
-        seen, n = np.zeros(BUCKETS, np.int64), 0
+    def number(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            hashes, ends = hashed_words(b[text], ALNUM)
-            if len(hashes):
-                place = np.arange(len(hashes)) - np.repeat(np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0))
-                passage = np.cumsum(place % WINDOW == 0)
-                n += int(passage[-1])
-                seen += np.bincount(np.unique(passage * BUCKETS + buckets(hashes)) % BUCKETS, minlength=BUCKETS)
+            yield {"ids": [buckets(words).astype("<u2").tobytes() for words in word_slices(b[text], ALNUM) if len(words)]}
+
+    return stored(map_batches(docs.select(text), number, "ids binary"), "bucket-numbers")
+
+
+def _numbers_of(batches: Iterator[dict]) -> Iterator[list[np.ndarray]]:
+    """The bucket numbers of texts, in lists of bounded size."""
+    for b in batches:
+        yield from _parts([np.frombuffer(x.as_buffer(), "<u2") for x in b["ids"]], len)
+
+
+def _laid_out(texts: list[np.ndarray]) -> np.ndarray:
+    """Bucket numbers of passages that follow one another, one column each; BUCKETS stands for words that a text's last passage lacks."""
+    lengths = np.array([len(t) for t in texts])
+    places = -(-lengths // WINDOW) * WINDOW
+    at = np.arange(lengths.sum()) + np.repeat(np.cumsum(places) - places - (np.cumsum(lengths) - lengths), lengths)
+    out = np.full(places.sum(), BUCKETS, np.uint16)
+    out[at] = np.concatenate(texts)
+    return np.ascontiguousarray(out.reshape(-1, WINDOW).T)
+
+
+def document_frequencies(docs: DataFrame, text: str = "text", numbers: DataFrame | None = None) -> np.ndarray:
+    """Inverse document frequencies of the buckets over all passages, from per-task counts of fixed size.
+
+    numbers: bucket_numbers() of docs, where they are there already.
+    """
+
+    def count(batches: Iterator[dict]) -> Iterator[dict]:
+        seen, n = np.zeros(BUCKETS + 1, np.int64), 0
+        for texts in _numbers_of(batches):
+            words = _laid_out(texts)
+            n += words.shape[1]
+            for k, ids in enumerate(words):
+                seen += np.bincount(ids[~(words[:k] == ids).any(axis=0)], minlength=BUCKETS + 1)
         if n:
-            yield {"block": np.arange(-1, BLOCKS), "counts": [np.array([n]).tobytes(), *(x.tobytes() for x in seen.reshape(BLOCKS, -1))]}
+            yield {"block": np.arange(-1, BLOCKS), "counts": [np.array([n]).tobytes(), *(x.tobytes() for x in seen[:-1].reshape(BLOCKS, -1))]}
 
     def total(batches: Iterator[dict]) -> Iterator[dict]:
         yield from _summed(batches, "counts", np.int64)
 
-    parts = map_batches(docs.select(text), count, "block int, counts binary").repartition(BLOCKS, "block")
+    held = bucket_numbers(docs, text) if numbers is None else numbers
+    parts = map_batches(held, count, "block int, counts binary").repartition(BLOCKS, "block")
     seen, n = np.zeros((BLOCKS, BUCKETS // BLOCKS)), 0
     for row in map_batches(parts, total, "block int, counts binary").collect():  # BLOCKS + 1 rows of fixed size
         if row.block < 0:
             n = int(np.frombuffer(row.counts, np.int64)[0])
         else:
             seen[row.block] = np.frombuffer(row.counts, np.int64)
+    if numbers is None:
+        forget(held)
     return np.log((n + 1) / (seen.ravel() + 1)).clip(0.1) if n else np.ones(BUCKETS)
 
 
@@ -214,46 +246,53 @@ def _parts(rows: list, size) -> Iterator[list]:
         yield part
 
 
-def latent_space(docs: DataFrame, idf: np.ndarray, text: str = "text") -> Space:
-    """The space fitted to the passages of all texts."""
+def add_rows(out: np.ndarray, keys: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Adds values[rows[i]] to out[keys[i]] for every i, up to ROUNDS rows of each key at a time."""
+    while len(keys):
+        order = np.argsort(keys, kind="stable")
+        keys, rows = keys[order], rows[order]
+        run = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        size = np.diff(np.append(run, len(keys)))
+        first = np.flatnonzero((np.arange(len(keys)) - np.repeat(run, size)) % ROUNDS == 0)
+        piece = np.diff(np.append(first, len(keys)))
+        order = np.argsort(-piece, kind="stable")
+        first, piece = first[order], piece[order]
+        sums = np.take(values, rows[first], axis=0)
+        for k in range(1, int(piece[0])):
+            n = np.searchsorted(-piece, -k)  # the pieces of more than k rows
+            sums[:n] += np.take(values, rows[first[:n] + k], axis=0)
+        whole = np.repeat(size <= ROUNDS, size)[first]
+        out[keys[first[whole]]] += sums[whole]
+        rows = np.flatnonzero(~whole)
+        keys, values = keys[first[rows]], sums
+
+
+def latent_space(docs: DataFrame, idf: np.ndarray, text: str = "text", numbers: DataFrame | None = None) -> Space:
+    """The space fitted to the passages of all texts; numbers: bucket_numbers() of docs, where they are there already."""
     spark = docs.sparkSession
-
-    def number(batches: Iterator[dict]) -> Iterator[dict]:
-        for b in batches:
-            yield {"ids": [buckets(words).astype("<u2").tobytes() for words in word_slices(b[text], ALNUM) if len(words)]}
-
-    numbers = stored(map_batches(docs.select(text), number, "ids binary"), "bucket-numbers")
-
-    def texts_of(batches: Iterator[dict]) -> Iterator[list[np.ndarray]]:
-        for b in batches:
-            yield from _parts([np.frombuffer(x.as_buffer(), "<u2").astype(np.uint64) for x in b["ids"]], len)
+    stored_numbers = bucket_numbers(docs, text) if numbers is None else numbers
 
     held = to_tasks(spark, Space(idf, np.random.default_rng(23).standard_normal((BUCKETS, RANK))))
 
     def sketch(batches: Iterator[dict]) -> Iterator[dict]:
         space, out, any_ = in_task(held), np.zeros((BUCKETS, RANK), np.float32), False
-        weights = np.sqrt(space.squares)
-        for texts in texts_of(batches):
+        for texts in _numbers_of(batches):
             any_ = True
-            ids = np.concatenate(texts).astype(np.uint16)
-            place = np.concatenate([np.arange(len(x)) for x in texts])
-            first = np.flatnonzero(place % WINDOW == 0)  # passages that follow one another
-            size = np.diff(np.append(first, len(ids)))
-            y = np.zeros((len(first), RANK + 1), np.float32)
-            for k in range(int(size.max())):
-                y += np.take(space.padded, np.where(k < size, ids[np.minimum(first + k, len(ids) - 1)], BUCKETS), axis=0)
+            words = _laid_out(texts)
+            y = np.zeros((words.shape[1], RANK + 1), np.float32)
+            for ids in words:
+                y += np.take(space.padded, ids, axis=0)
             y = y[:, :-1] / np.maximum(y[:, -1:], 1e-9)
-            order = np.argsort(ids, kind="stable")
-            back, ids = np.repeat(np.arange(len(first)), size)[order], ids[order]
-            run = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            out[ids[run]] += np.add.reduceat(np.take(y, back, axis=0), run, axis=0) * weights[ids[run], None]
+            at = np.flatnonzero(words.ravel() != BUCKETS)
+            add_rows(out, words.ravel()[at], at % words.shape[1], y)
+        out *= np.sqrt(space.squares)[:, None]
         if any_:
             yield {"block": list(range(BLOCKS)), "rows": [x.tobytes() for x in out.reshape(BLOCKS, -1)]}
 
     def total(batches: Iterator[dict]) -> Iterator[dict]:
         yield from _summed(batches, "rows", np.float32)
 
-    parts = map_batches(numbers, sketch, "block int, rows binary").repartition(BLOCKS, "block")
+    parts = map_batches(stored_numbers, sketch, "block int, rows binary").repartition(BLOCKS, "block")
     whole = np.zeros((BLOCKS, BUCKETS * RANK // BLOCKS), np.float32)
     for row in map_batches(parts, total, "block int, rows binary").collect():  # BLOCKS rows of fixed size
         whole[row.block] = np.frombuffer(row.rows, np.float32)
@@ -262,8 +301,8 @@ def latent_space(docs: DataFrame, idf: np.ndarray, text: str = "text") -> Space:
 
     def moments(batches: Iterator[dict]) -> Iterator[dict]:
         space, n, sums, squares = in_task(plain), 0, np.zeros(RANK), np.zeros((RANK, RANK))
-        for texts in texts_of(batches):
-            x = space.passages(texts)[2]
+        for texts in _numbers_of(batches):
+            x = space.passages([t.astype(np.uint64) for t in texts])[2]
             n, sums, squares = n + len(x), sums + x.sum(axis=0), squares + x.T @ x
         if n:
             yield {"block": [0], "rows": [np.concatenate([[n], sums, squares.ravel()]).tobytes()]}
@@ -271,8 +310,9 @@ def latent_space(docs: DataFrame, idf: np.ndarray, text: str = "text") -> Space:
     def added(batches: Iterator[dict]) -> Iterator[dict]:
         yield from _summed(batches, "rows", float)
 
-    got = map_batches(map_batches(numbers, moments, "block int, rows binary").repartition(1), added, "block int, rows binary").collect()  # one row of fixed size
-    forget(numbers)
+    got = map_batches(map_batches(stored_numbers, moments, "block int, rows binary").repartition(1), added, "block int, rows binary").collect()  # one row of fixed size
+    if numbers is None:
+        forget(stored_numbers)
     if not got:
         return Space(idf, basis)
     n, sums, squares = np.split(np.frombuffer(got[0].rows, float), [1, 1 + RANK])
@@ -401,7 +441,8 @@ class Search:
             text, place, x = strides.passages(items.across)
             x, absent = self.space.unit(x), ~strides.bitmaps(words, items.across, margin)
             for at in range(0, len(x), 4096):  # blocks that stay in cache
-                rows, ks = np.nonzero(x[at : at + 4096] @ items.vectors.T >= NEAR)
+                # places in the product by row: far cheaper to find than pairs of places
+                rows, ks = np.divmod(np.flatnonzero((x[at : at + 4096] @ items.vectors.T >= NEAR).ravel()), len(items.vectors))
                 lacks = set_bits(np.take(items.bits, ks, axis=0) & np.take(absent, at + rows, axis=0))
                 open_ = np.flatnonzero(lacks <= items.missing[ks])
                 for row, k in zip(rows[open_], ks[open_]):
@@ -426,7 +467,9 @@ def _searches(docs: DataFrame, benchmark: DataFrame) -> list:
     if not sizes[0]:
         return []
     blocks = max(1, -(-max(sizes[0], (sizes[1] or 0) // (5 * STRIDE)) // MOST_ITEMS))
-    space = latent_space(docs, document_frequencies(docs))
+    numbers = bucket_numbers(docs)
+    space = latent_space(docs, document_frequencies(docs, numbers=numbers), numbers=numbers)
+    forget(numbers)
     # about MOST_ITEMS passages by hash, so each block has a bounded size
     parts = (items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect() for block in range(blocks))
     return [to_tasks(docs.sparkSession, ([tuple(r) for r in rows], space)) for rows in parts]

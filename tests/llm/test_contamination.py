@@ -194,3 +194,31 @@ def test_latent_space_is_fitted_to_every_text(spark):
     assert np.allclose(space.mean, mean, atol=1e-5)
     # a sample of half of them has other moments
     assert not np.allclose(space.mean, c._shrunk(20000, x[::2].sum(axis=0), x[::2].T @ x[::2])[0], atol=1e-5)
+
+
+def test_passes_share_bucket_numbers(spark):
+    """Words are hashed once for document frequencies, space and moments, with the results of passes of their own."""
+    docs = spark.createDataFrame([*made(60, 5, 9)[0], (100, None), (101, ""), (102, "one one two")], "doc_id long, text string")
+    numbers = c.bucket_numbers(docs)
+    idf = c.document_frequencies(docs, numbers=numbers)
+    seen, n = np.zeros(c.BUCKETS), 0
+    for r in docs.collect():
+        ids = c.buckets(c.words_of(r.text)) if r.text else []
+        for at in range(0, len(ids), c.WINDOW):
+            n += 1
+            seen[np.unique(ids[at : at + c.WINDOW])] += 1
+    assert np.allclose(idf, np.log((n + 1) / (seen + 1)).clip(0.1))
+    assert np.array_equal(idf, c.document_frequencies(docs))
+    one, other = c.latent_space(docs, idf, numbers=numbers), c.latent_space(docs, idf)
+    assert np.allclose(np.abs(one.rows.T @ other.rows), np.abs(other.rows.T @ other.rows), atol=1e-2)
+    assert np.allclose(one.mean, other.mean, atol=1e-3)
+
+
+def test_add_rows():
+    draw = np.random.default_rng(3)
+    for n, keys in ((0, 5), (1, 1), (5000, 3), (3000, 900)):
+        at, rows, values = draw.integers(0, keys, n).astype(np.uint16), draw.integers(0, 50, n), draw.standard_normal((50, 4)).astype(np.float32)
+        got, want = np.ones((keys, 4), np.float32), np.ones((keys, 4))
+        c.add_rows(got, at, rows, values)
+        np.add.at(want, at, values[rows].astype(float))
+        assert np.allclose(got, want, atol=1e-3)
