@@ -62,6 +62,8 @@ COPY = 0.9
 TOGETHER = 1 << 17
 #: Rows of a key that add_rows() adds up before it sorts again.
 ROUNDS = 16
+#: Cosines that a task looks at together, whatever the number of items; what passes NEAR takes some 200 bytes each.
+CELLS = 1 << 18
 #: 64-bit parts of a passage's word bitmap.
 PARTS = 8
 #: Words up to which an answer must be there whole; of a longer one, a share of COMMON.
@@ -94,13 +96,21 @@ class Space:
     """The latent space: idf-weighted rows of the basis, squared idf, and the centring and scaling of latent vectors."""
 
     def __init__(self, idf: np.ndarray, basis: np.ndarray, mean: np.ndarray | None = None, scaling: np.ndarray | None = None):
-        self.rows, self.squares = (basis * idf[:, None]).astype(np.float32), (idf**2).astype(np.float32)
         # one more place, for the words that a text's last stride lacks
         self.padded = np.zeros((BUCKETS + 1, basis.shape[1] + 1), np.float32)
-        self.padded[:-1, :-1], self.padded[:-1, -1] = self.rows, self.squares
+        self.padded[:-1, :-1], self.padded[:-1, -1] = basis * idf[:, None], idf**2
         self.mean = np.zeros(basis.shape[1]) if mean is None else mean
         self.scaling = np.eye(basis.shape[1]) if scaling is None else scaling
 
+    # views, so that tasks get the table once
+    @property
+    def rows(self) -> np.ndarray:
+        return self.padded[:-1, :-1]
+
+    @property
+    def squares(self) -> np.ndarray:
+        return self.padded[:-1, -1]
+
     def passages(self, texts: list[np.ndarray], across: int = WINDOW // STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, first word, vector) of each passage of `across` strides, of texts given as non-empty arrays of word hashes."""
         return Strides(self, texts).passages(across)
@@ -440,9 +450,10 @@ class Search:
         for items in self.groups:
             text, place, x = strides.passages(items.across)
             x, absent = self.space.unit(x), ~strides.bitmaps(words, items.across, margin)
-            for at in range(0, len(x), 4096):  # blocks that stay in cache
+            block = max(1, CELLS // len(items.vectors))
+            for at in range(0, len(x), block):
                 # places in the product by row: far cheaper to find than pairs of places
-                rows, ks = np.divmod(np.flatnonzero((x[at : at + 4096] @ items.vectors.T >= NEAR).ravel()), len(items.vectors))
+                rows, ks = np.divmod(np.flatnonzero((x[at : at + block] @ items.vectors.T >= NEAR).ravel()), len(items.vectors))
                 lacks = set_bits(np.take(items.bits, ks, axis=0) & np.take(absent, at + rows, axis=0))
                 open_ = np.flatnonzero(lacks <= items.missing[ks])
                 for row, k in zip(rows[open_], ks[open_]):

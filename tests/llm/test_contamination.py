@@ -1,5 +1,7 @@
 import os
+import pickle
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -222,3 +224,17 @@ def test_add_rows():
         c.add_rows(got, at, rows, values)
         np.add.at(want, at, values[rows].astype(float))
         assert np.allclose(got, want, atol=1e-3)
+
+
+def test_memory_of_a_task_does_not_grow_with_the_items():
+    """Cosines are looked at in blocks of CELLS, and a task gets the table of the space once."""
+    draw = random.Random(5)
+    text = lambda n: " ".join("".join(draw.choice("abcdefghij") for _ in range(4)) for _ in range(n))
+    space = c.Space(np.ones(c.BUCKETS), np.random.default_rng(0).standard_normal((c.BUCKETS, c.RANK)))
+    assert len(pickle.dumps(space)) < 1.1 * space.padded.nbytes
+    search, texts = c.Search([(i, text(30)) for i in range(3000)], space), pa.array([text(30_000)])
+    tracemalloc.start()
+    search(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6, peak

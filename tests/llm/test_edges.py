@@ -2,9 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from sievekit.llm import registry
+from sievekit.llm import common, registry
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +70,10 @@ def test_odd_and_empty_tables(spark, folders, name):
         assert name.startswith("op13") or n == (n_pages if name.startswith(("op8", "op12")) else n_docs)
     nothing = registry.QUERIES[name](spark, empty)
     assert nothing.columns == got.columns and nothing.count() == 0
+
+
+def test_spark_hands_over_batches_of_bounded_size(spark):
+    docs = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 10000).alias("text"))
+    common.map_batches(docs, lambda batches: batches, "text string")  # whatever maps batches bounds them
+    handed = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert len(handed) > 2 and max(r.n for r in handed) < 2 * common.BATCH_BYTES
