@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 
@@ -5,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievekit.operators import nearness, splitting
+from sievekit.plans import audits
 
 BITS, WIDTH = 112, 56
 
@@ -81,3 +83,28 @@ def test_reconstruction_marks_other_classes_unseen(spark):
     whole = splitting.reconstruct(rows, "id", "c", F.col("c").isin("a", "b"))
     alone = {r.id: r.split for r in splitting.assign_splits(rows.where("c in ('a', 'b')"), "id", "c").collect()}
     assert {r.id: r.split for r in whole.collect()} == alone | {r.id: "unseen" for r in rows.where("c is null or c = 'z'").collect()}
+
+
+def test_cross_split_signs_texts_once_and_shuffles_none(spark, monkeypatch, tmp_path):
+    rows = [(i, f"a b c d {i}" if i % 5 else None, "de" if i % 2 else "fi") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(nearness, "cross_split", lambda rows, *_, **__: rows)
+    found = audits.near_dup_cross_split(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in plan and "MapInArrow" not in plan
+    # rows without text have no signature, and take part in the ranking of the split
+    assert {r.doc_id for r in found.where("low is null and high is null").collect()} == {i for i, t, _ in rows if t is None}
+    whole = {r.doc_id: r.split for r in audits.audited_split(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {r.doc_id: r.split for r in found.collect()} == whole
+
+
+def test_least_bytes_of_a_text_longer_than_a_piece(monkeypatch):
+    text = " ".join(str(i % 97) for i in range(400))
+    whole = audits._least_bytes(hashlib.sha256, 14, text).tolist()
+    monkeypatch.setattr(audits, "RUNS", 7)
+    assert audits._least_bytes(hashlib.sha256, 14, text).tolist() == whole
+
+
+def test_bucket_of_200_rows_is_joined_without_more_copies(spark):
+    steps = nearness.joined(table(spark, planted(10, 0, hot=200)), ["low", "high"], BITS, 6, None, WIDTH)
+    assert len(steps) == 1
