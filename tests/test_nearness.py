@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sievekit.operators import nearness, splitting
+from sievekit.operators import auditing, nearness, splitting
 from sievekit.plans import audits
 
 BITS, WIDTH = 112, 56
@@ -105,6 +105,18 @@ def test_least_bytes_of_a_text_longer_than_a_piece(monkeypatch):
     assert audits._least_bytes(hashlib.sha256, 14, text).tolist() == whole
 
 
+def test_nearest_pairs_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(v):
+        made.add(1)
+        return True
+
+    pairs = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(1).alias("distance")).where(F.udf(seen, "boolean")("a"))
+    found = auditing.nearest_pairs(pairs).collect()
+    assert made.value == 300 and len(found) == 200 and {r.n_pairs for r in found} == {300}
+
+
 def test_bucket_of_200_rows_is_joined_without_more_copies(spark):
     steps = nearness.joined(table(spark, planted(10, 0, hot=200)), ["low", "high"], BITS, 6, None, WIDTH)
     assert len(steps) == 1
