@@ -255,3 +255,38 @@ def test_toxicity_models_keep_their_size_and_count_the_rest(spark, monkeypatch):
         assert dict(zip(a.h, a.size)).items() <= dict(zip(b.h, b.size)).items()
     models = toxicity.Models(few, (np.zeros(0, np.uint64), np.zeros(0)), 1.0)
     assert all(((0 < b) & (b <= 1)).all() for b in models.back)
+
+
+def test_bigrams_counted_in_turns_are_all_bigrams(spark):
+    texts = spark.createDataFrame([(" ".join(f"w{i * k % 41}" for k in range(40)), i % 2) for i in range(60)], "text string, y int")
+    rows = lambda df: sorted(tuple(r[c] for c in ("y", "h", "w", "n", "s")) for r in df.collect())
+    turns = [rows(toxicity.bigram_counts(texts, turn)) for turn in range(toxicity.TURNS)]
+    assert all(turns) and sorted(sum(turns, [])) == rows(toxicity.bigram_counts(texts))
+
+
+def test_counts_of_known_words_leave_the_sum_of_the_others(spark):
+    docs = spark.createDataFrame([(t,) for t in ("one two two", "two three four", "", None, "five")], "text string")
+    every = toxicity.document_counts(docs).toPandas()
+    two, four = common.hashed_words(pa.array(["two four"]), common.ALNUM)[0]
+    few = toxicity.document_counts(docs, known=np.sort([two, four])).toPandas()
+    assert dict(zip(few.w[~few.stem].astype("uint64"), few.n[~few.stem])) == {two: 2, four: 1, toxicity.OTHER: 3}
+    assert list(few.w[few.stem]) == [toxicity.OTHER]
+    assert few.groupby("stem").n.sum().to_dict() == every.groupby("stem").n.sum().to_dict()
+
+
+def test_toxicity_holds_no_texts_beside_the_bigrams_and_shuffles_no_bigrams_again(spark, monkeypatch):
+    left, plans, plain = [], [], toxicity.held
+
+    def looks(bigrams, per_word):
+        left.extend(path.rsplit("/", 1)[1].rsplit("-", 1)[0] for path in common._held)
+        places = plain(bigrams, per_word)
+        plans.append(toxicity.among(bigrams, places[1])._jdf.queryExecution().executedPlan().toString())
+        return places
+
+    before = len(common._held)
+    monkeypatch.setattr(toxicity, "held", looks)
+    rows = corpus(200)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    toxicity.fit(docs, spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int"))
+    assert sorted(left[before:]) == ["bigrams"] * toxicity.TURNS + ["words-before"]
+    assert "Exchange" not in plans[0] and len(common._held) == before
